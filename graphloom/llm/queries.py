@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from graphloom.llm import bpe, classifier, common, exact, quality_rules, simhash, toxicity
+from graphloom.llm import bpe, classifier, common, exact, quality_rules, repeats, simhash, toxicity
 
 
 def op1_bpe_encoding(spark, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ QUERIES = {
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_suffix_dedup": repeats.op6_suffix_dedup,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
