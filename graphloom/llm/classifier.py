@@ -150,5 +150,20 @@ def quality_scores(documents: DataFrame, labels: DataFrame, training: DataFrame
     return score_documents(documents, weights, bias, 0.3, 5, 0, p)
 
 
+def keep_good(documents: DataFrame, labels: DataFrame, training: DataFrame | None = None, threshold: float = 0.3, p: Params = Params()) -> DataFrame:
+    """The rows of ``documents`` that are not rejected, with their columns; learnt as in ``quality_scores``. No shuffle."""
+    texts, y = labelled_sample(training if training is not None else documents, labels, "quality", fold("doc_id", 5) != 0, p.max_rows)
+    weights, bias = train(texts, y, p)
+    model = documents.sparkSession.sparkContext.broadcast(weights)  # a fixed number of buckets
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [score_text((t or "").encode(), model.value, bias, p) >= threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

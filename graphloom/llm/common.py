@@ -57,6 +57,30 @@ def map_rows(df: DataFrame, function: Callable[[Iterator], Iterator], schema: st
     return df.mapInArrow(function, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(documents: DataFrame) -> tuple[DataFrame, str]:
+    """``documents`` with a 128-bit hash of the text (null: empty), and the new column's name."""
+    name = fresh(documents, "text_key")
+    return documents.withColumn(name, F.unhex(F.md5(text_of().cast("binary")))), name
+
+
+def keep_rows(documents: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose id and text are in ``kept`` (doc_id, key), each of them once.
+
+    One shuffle of the documents serves the join and the removal of repeated rows.
+    """
+    keyed, key = text_key(documents)
+    here = keyed["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (keyed[key] == kept["key"])
+    return keyed.join(kept, here, "left_semi").dropDuplicates(["doc_id", key]).select(*documents.columns)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

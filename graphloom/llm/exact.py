@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, table, text_of
+from graphloom.llm.common import cut, keep_rows, table, text_of
 
 
 def content_hash(text: Column) -> Column:
@@ -53,9 +53,11 @@ def exact_duplicates(
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay; rows repeated with one id and text stay once."""
-    kept = exact_duplicates(documents).where("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``documents`` that stay, with their columns: of equal texts that with the largest doc_id, once; of
+    equal texts with null ids only, none."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
+    classes = texts.withColumn("key", content_hash(F.col("t"))).groupBy("key", "t").agg(F.max("doc_id").alias("doc_id"))
+    return keep_rows(documents, cut(classes.where("doc_id IS NOT NULL").select("doc_id", "key").distinct()))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

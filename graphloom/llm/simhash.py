@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, map_rows, table, text_of
+from graphloom.llm.common import cut, keep_rows, map_rows, table, text_of
 from graphloom.llm.components import connected_components
 
 RADIUS = 3
@@ -49,15 +49,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row, from its whole text (null: empty)."""
+    """doc_id, fp (the fingerprint as a signed long) and key (hash of the text) of every row, from its whole text (null:
+    empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], ["doc_id", "fp", "key"])
 
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return map_rows(narrow, run, "doc_id long, fp long")
+    text = text_of().cast("binary")
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+    return map_rows(narrow, run, "doc_id long, fp long, key binary")
 
 
 class BKTree:
@@ -183,20 +185,26 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = 3
     included. Null and empty texts have fingerprint zero, linked like any other; null ids do not name a component that has
     another id; repeated rows share a fingerprint, hence a component. Other columns are ignored.
     """
+    named = _components(documents, radius, shingle, most)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(documents: DataFrame, radius: int, shingle: int, most: int) -> DataFrame:
+    """doc_id, fp, key, component_id."""
     rows = cut(fingerprints(documents, shingle))
     vertices = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(connected_components(near_links(vertices.select("fp"), radius, most)))
     linked = vertices.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left")
     names = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("named"))
     named = linked.join(names, "root", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(named, "fp").select("doc_id", hexed, "component_id")
+    return rows.join(named, "fp")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The row of each component whose doc_id names it; rows repeated with that id stay once."""
-    kept = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = 3, most: int = SHARD) -> DataFrame:
+    """The rows of ``documents`` that stay, with their columns: those whose doc_id names their component, equal texts
+    once. Different texts of that id stay both, and so do those of components that have null ids only."""
+    named = _components(documents, radius, shingle, most)
+    return keep_rows(documents, cut(named.where("doc_id <=> component_id").select("doc_id", "key").distinct()))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
