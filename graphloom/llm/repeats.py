@@ -8,8 +8,8 @@ The first digit is one that text chooses itself: of the ``GRAM``-byte grams insi
 share theirs, so about one suffix in thirty is dealt out, with its anchor's hash and the hash of its context, the bytes of
 all windows of the anchor. A context that an earlier suffix has too is repeated as a whole; an anchor with one context has
 nothing else; only the windows of anchors with several contexts go on to the passes over their bytes, 8 a digit, each of
-which drops groups of one. An anchor with more than ``CROWD`` contexts is not gathered: its windows are aggregated by
-their 128-bit hashes.
+which drops groups of one. An anchor with more contexts than a task's share (``CROWD`` are the bounds of it) is not
+gathered: its windows are aggregated by their 128-bit hashes.
 
 Suffixes are ordered by (doc_id, hash of the text, position). Contexts are taken for equal when the 64-bit hashes of
 their anchors and of their bytes agree.
@@ -29,8 +29,10 @@ from graphloom.llm.common import cut, free_dead_shuffles, map_rows, table, text_
 
 THRESHOLD = 100
 GRAM = 32
-#: Most contexts of an anchor that one task gathers, and most windows that it sorts at once.
-CROWD, SORTED = 1024, 400_000
+#: An anchor is crowded if it has more contexts than a task's mean share of all, within these bounds.
+CROWD = 1024, 16_384
+#: Windows that a task sorts at once, besides the last anchor's.
+SORTED = 400_000
 #: Contexts that a task combines before the shuffle.
 COMBINED = 200_000
 #: Windows whose anchors are found at once.
@@ -133,13 +135,13 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-#: What is known of a suffix: its context is repeated; its windows go on; they do, in a crowd.
-_GONE, _OPEN, _CROWDED = 0, 1, 2
-
-
-def _settle(crowd: int):
+def _settle(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (gram, context, doc, place): the first of a context is its earliest suffix."""
+        """Rows sorted by (gram, context, doc, place): the first of a context is its earliest suffix.
+
+        ``beside`` is the number of contexts of the anchor if its windows go on, ``most`` + 1 at most; 0: the context is
+        repeated.
+        """
         gram = context = None
         kept: list[tuple[int, int]] = []
         first: tuple[int, int] = (0, 0)
@@ -148,19 +150,19 @@ def _settle(crowd: int):
 
         def close() -> None:
             if len(kept) > 1:
-                out.extend((_OPEN, gram, d, p) for d, p in kept)
+                out.extend((len(kept), gram, d, p) for d, p in kept)
             kept.clear()
 
         def batch_of() -> pa.RecordBatch:
             part = np.array(out, np.int64).reshape(-1, 4)
             out.clear()
-            return _batch([part[:, 0].astype(np.int32), part[:, 1], part[:, 2], part[:, 3]], "kind gram doc place")
+            return _batch([part[:, 0].astype(np.int32), part[:, 1], part[:, 2], part[:, 3]], "beside gram doc place")
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(1, 6)]
             for g, c, d, p, sure in zip(*columns):
                 if sure:
-                    out.append((_GONE, 0, d, p))
+                    out.append((0, 0, d, p))
                 elif g != gram or c != context:
                     if g != gram:
                         if gram is not None:
@@ -168,15 +170,15 @@ def _settle(crowd: int):
                         crowded = False
                     gram, context, first = g, c, (d, p)
                     if crowded:
-                        out.append((_CROWDED, g, d, p))
+                        out.append((most + 1, g, d, p))
                     else:
                         kept.append(first)
-                        if len(kept) > crowd:
-                            out.extend((_CROWDED, g, *x) for x in kept)
+                        if len(kept) > most:
+                            out.extend((most + 1, g, *x) for x in kept)
                             kept.clear()
                             crowded = True
                 elif (d, p) > first:
-                    out.append((_GONE, 0, d, p))
+                    out.append((0, 0, d, p))
             yield batch_of()
         close()
         yield batch_of()
@@ -196,14 +198,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = rows[part : part + 20_000]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([a["kind"] for a, *_ in some], pa.int32()),
+                        pa.array([a["beside"] for a, *_ in some], pa.int32()),
                         pa.array([a["gram"] for a, *_ in some], pa.int64()),
                         pa.array([doc] * len(some), pa.int64()),
                         pa.array([a["place"] for a, *_ in some], pa.int64()),
                         pa.array([p - b for _, p, b, _ in some], pa.int32()),
                         pa.array([text[b:e] for _, _, b, e in some], pa.binary()),
                     ],
-                    ["kind", "gram", "doc", "place", "lead", "bytes"],
+                    ["beside", "gram", "doc", "place", "lead", "bytes"],
                 )
 
 
@@ -353,7 +355,7 @@ def _cut_out(with_text: bool):
     return run
 
 
-def remove_repeats(documents: DataFrame, with_text: bool = False, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(documents: DataFrame, with_text: bool = False, crowd: tuple[int, int] = CROWD) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds kept_bytes.
 
     A null text is empty; texts shorter than a window lose nothing. Null ids come last in the order of documents; texts
@@ -369,28 +371,30 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, crowd: int = C
 
     found = map_rows(texts.where(F.length("text") >= THRESHOLD).select("doc", "text"), _suffixes, _FOUND)
     dealt = found.repartition("route").sortWithinPartitions("gram", "context", "doc", "place")
-    known = cut(map_rows(dealt, _settle(crowd), "kind int, gram long, doc long, place long"))
+    known = cut(map_rows(dealt, _settle(crowd[1]), "beside int, gram long, doc long, place long"))
     free_dead_shuffles(spark)
+    going = known.where("beside > 0")
+    share = min(max(going.count() // int(spark.conf.get("spark.sql.shuffle.partitions")), crowd[0]), crowd[1])
 
     which = [F.col("doc"), F.shiftright("place", 32).alias("tie")]
-    asked = known.where(F.col("kind") != _GONE).groupBy(*which).agg(F.collect_list(F.struct("kind", "gram", "place")).alias("asked"))
+    asked = going.groupBy(*which).agg(F.collect_list(F.struct("beside", "gram", "place")).alias("asked"))
     # rows repeated with id and text ask once
     once = texts.where(F.length("text") >= THRESHOLD).join(asked, ["doc", "tie"])
     contexts = map_rows(
-        once.select("doc", "tie", "text", "asked"), _contexts, "kind int, gram long, doc long, place long, lead int, bytes binary"
+        once.select("doc", "tie", "text", "asked"), _contexts, "beside int, gram long, doc long, place long, lead int, bytes binary"
     )
     contexts = cut(contexts)
     free_dead_shuffles(spark)
 
-    plain = contexts.where(F.col("kind") == _OPEN).select("gram", "doc", "place", "lead", "bytes")
+    plain = contexts.where(F.col("beside") <= share).select("gram", "doc", "place", "lead", "bytes")
     spans = map_rows(plain.repartition("gram").sortWithinPartitions("gram", "doc", "place"), _sorted_windows, _SPANS)
-    windows = map_rows(contexts.where(F.col("kind") == _CROWDED).select("gram", "doc", "place", "lead", "bytes"), _hashed_windows, "high long, low long, doc long, place long")
+    windows = map_rows(contexts.where(F.col("beside") > share).select("gram", "doc", "place", "lead", "bytes"), _hashed_windows, "high long, low long, doc long, place long")
     earliest = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = windows.join(earliest.drop("n"), ["high", "low"]).where(F.struct("doc", "place") > F.col("first"))
     single = F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 24) + THRESHOLD
     spans = spans.unionByName(later.select(*which, single.alias("span")))
 
-    gone = known.where(F.col("kind") == _GONE).select(*which, F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), F.lit(None).cast("long").alias("span"))
+    gone = known.where("beside = 0").select(*which, F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), F.lit(None).cast("long").alias("span"))
     every = gone.unionByName(spans.select("doc", "tie", F.lit(None).cast("long").alias("place"), "span"))
     marks = every.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"), F.collect_list("span").alias("spans"))
     whole = texts.join(marks, ["doc", "tie"], "left").select("doc_id", "text", "places", "spans")
