@@ -1,6 +1,787 @@
-"""All registered queries with their SQL counterparts."""
+"""All registered queries with their SQL counterparts.
+
+Every query runs an operator of the engine over whole tables (see ``analogues`` for what stands for what); the SQL beside
+it says the same independently. A query without SQL is an iterative or streaming one and is tested by its own tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom import embedded, streaming
+from graphloom.config import Thresholds
+from graphloom.functions import paths, severity, text
+from graphloom.operators import chunks, findings, graphs, history, index, packs, parse, resolve, rules, scoring, search, trend
+from graphloom.plans import analogues as A
+from graphloom.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+T = Thresholds()
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
+# --- severity and score
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size >= 20 THEN 4 WHEN p_size >= 15 THEN 3 WHEN p_size >= 10 THEN 2 ELSE 1 END AS severity,
+    CASE WHEN p_size >= 20 THEN 'critical' WHEN p_size >= 15 THEN 'high' WHEN p_size >= 10 THEN 'medium' ELSE 'low' END AS label FROM part"""
+)
+def severity_scaling(spark, d):
+    level = severity.scaled(F.col("p_size"), T.cyclomatic_warn, T.cyclomatic_high, T.cyclomatic_critical).cast("int")
+    return table(spark, d, "part").select("p_partkey", level.alias("severity"), severity.label(level).alias("label"))
+
+
+_SCORED = f"SELECT KEYS round(p, 2) AS penalty, round(dens, 2) AS density, {A.SCORE} AS score, {A.GRADE} AS grade, info, low, medium, high, critical, loc FROM (SELECT *, p / greatest(1.0::DOUBLE, loc / 100.0::DOUBLE) AS dens FROM (SELECT *, {A.PENALTY} AS p FROM c))"
+_COLUMNS = ["penalty", "density", "score", "grade", *severity.LABELS, "loc"]
+
+
+@query(_with(A.FINDINGS, f"c AS (SELECT {A.COUNTS}, CAST((SELECT sum(length * 100) FROM (SELECT p_partkey % 250 AS length FROM part)) AS BIGINT) AS loc FROM findings)") + _SCORED.replace("KEYS", ""))
+def health_score(spark, d):
+    sizes = A.functions(spark, d).select((F.col("length") * 100).alias("loc"))
+    return scoring.health_score(A.findings(spark, d), sizes).select(*_COLUMNS)
+
+
+@query(
+    _with(
+        A.FINDINGS,
+        f"f AS (SELECT path, {A.COUNTS} FROM findings GROUP BY path)",
+        "s AS (SELECT 'src/' || replace(lower(p_brand), '#', '/') || '.py' AS path, CAST(sum(p_partkey % 250) * 100 AS BIGINT) AS loc FROM part GROUP BY 1)",
+        "c AS (SELECT s.path, loc, coalesce(info, 0) AS info, coalesce(low, 0) AS low, coalesce(medium, 0) AS medium, coalesce(high, 0) AS high, coalesce(critical, 0) AS critical FROM s LEFT JOIN f USING (path))",
+    )
+    + _SCORED.replace("KEYS", "path,")
+)
+def health_score_by_group(spark, d):
+    found = A.findings(spark, d)
+    path = F.concat(F.lit("src/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("/")), F.lit(".py"))
+    sizes = table(spark, d, "part").select(path.alias("path"), (F.col("p_partkey") % 250 * 100).alias("loc"))
+    return scoring.health_score(found, sizes, ["path"]).select("path", *_COLUMNS)
+
+
+@query(_with(A.FINDINGS) + f"SELECT category, {A.COUNTS} FROM findings GROUP BY category")
+def severity_counts_pivot(spark, d):
+    return A.findings(spark, d).groupBy("category").agg(*scoring.counts())
+
+
+@query(_with(A.FINDINGS) + "SELECT rule_id, path, symbol, severity, line FROM findings WHERE severity >= 3")
+def severity_filter(spark, d):
+    return findings.at_or_above(A.findings(spark, d), severity.HIGH).select("rule_id", "path", "symbol", "severity", "line")
+
+
+# --- history
+
+
+@query(_with(A.HISTORY) + "SELECT path, commits, insertions, deletions, churn, authors, last_modified FROM history")
+def file_history(spark, d):
+    return history.file_history(A.changes(spark, d)).select("path", "commits", "insertions", "deletions", "churn", "authors", "last_modified")
+
+
+@query(_with(A.HISTORY) + "SELECT share, CASE share WHEN 0.0 THEN quantile_cont(commits, 0.0) WHEN 0.5 THEN quantile_cont(commits, 0.5) WHEN 0.75 THEN quantile_cont(commits, 0.75) ELSE quantile_cont(commits, 1.0) END AS value FROM history, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) s(share) GROUP BY share")
+def churn_percentile(spark, d):
+    rows = history.file_history(A.changes(spark, d))
+    shares = (0.0, 0.5, 0.75, 1.0)
+    each = rows.agg(*(F.percentile("commits", s).alias(f"p{k}") for k, s in enumerate(shares)))
+    return each.select(F.inline(F.array(*(F.struct(F.lit(s).alias("share"), F.col(f"p{k}").alias("value")) for k, s in enumerate(shares)))))
+
+
+@query(_with(A.HISTORY) + "SELECT path, commits, churn, authors FROM history ORDER BY commits DESC, churn DESC, path LIMIT 10")
+def top_churn(spark, d):
+    return history.top_churn(history.file_history(A.changes(spark, d)), 10).select("path", "commits", "churn", "authors")
+
+
+@query(_with(A.HISTORY, "h AS (SELECT *, churn * ln(1 + commits) AS raw FROM history)") + "SELECT path, commits, churn, round(100 * raw / (SELECT max(raw) FROM h), 1) AS heat FROM h")
+def hotspot_heat(spark, d):
+    return history.heat(history.file_history(A.changes(spark, d))).select("path", "commits", "churn", "heat")
+
+
+@query(_with(A.HISTORY, "h AS (SELECT *, churn * ln(1 + commits) AS raw FROM history)") + "SELECT path, round(100 * raw / (SELECT max(raw) FROM h), 1) AS heat FROM h ORDER BY heat DESC, path LIMIT 5")
+def hotspots(spark, d):
+    return history.hotspots(history.file_history(A.changes(spark, d)), 5).select("path", "heat")
+
+
+_HOT = """floor_ AS (SELECT greatest(5, CAST(floor(quantile_cont(commits, 0.75)) AS INTEGER)) AS f FROM history),
+ churn AS (SELECT CAST(l_partkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS qualname, count(DISTINCT l_orderkey) AS commits, count(DISTINCT l_suppkey) AS authors FROM lineitem WHERE l_partkey % 3 = 0 AND l_returnflag = 'A' GROUP BY 1, 2)"""
+
+
+@query(
+    _with(A.HISTORY, _HOT)
+    + """SELECT f.qualname, f.cyclomatic, CASE WHEN c.path IS NULL THEN 'file' ELSE 'function' END AS scope,
+    CASE WHEN f.cyclomatic >= 15 THEN 3 ELSE 2 END AS level, coalesce(c.commits, h.commits) AS commits
+    FROM (SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_partkey AS VARCHAR) AS qualname, p_size AS cyclomatic FROM part) f
+    JOIN history h USING (path) LEFT JOIN churn c ON c.path = f.path AND c.qualname = f.qualname
+    WHERE f.cyclomatic >= 10 AND h.commits >= (SELECT f FROM floor_) AND (c.commits IS NULL OR c.commits >= 5)"""
+)
+def hotspot_rule(spark, d):
+    functions = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_partkey").cast("string").alias("qualname"), F.col("p_size").alias("cyclomatic"))
+    known = table(spark, d, "lineitem").where("l_partkey % 3 = 0 AND l_returnflag = 'A'")
+    name = F.col("l_partkey").cast("string")
+    churn = known.groupBy(name.alias("path"), name.alias("qualname")).agg(
+        F.countDistinct("l_orderkey").alias("commits"), F.countDistinct("l_suppkey").alias("authors"), F.lit(0).alias("lines"), F.lit("").alias("last_modified")
+    )
+    rows = history.hot_functions(functions, history.file_history(A.changes(spark, d)), churn, T.hotspot_min_commits, T.hotspot_min_cyclomatic, T.cyclomatic_high)
+    return rows.select("qualname", "cyclomatic", "scope", F.col("level").cast("int").alias("level"), F.coalesce("own_commits", "file_commits").alias("commits"))
+
+
+@query(_with(A.FUNCTIONS) + "SELECT path, qualname, cyclomatic, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cyclomatic DESC, ordinal) AS place FROM functions) WHERE place <= 8")
+def blame_topk_functions(spark, d):
+    return history.most_complex(A.functions(spark, d)).select("path", "qualname", "cyclomatic", "place")
+
+
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def changed_scope_semi(spark, d):
+    orders = table(spark, d, "orders")
+    changed = orders.where("o_orderstatus = 'P'").select("o_orderkey").union(orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey")).distinct()
+    rows = table(spark, d, "lineitem").join(changed, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return rows.select("l_partkey").distinct()
+
+
+# --- paths
+
+_URL_PATH = r"regexp_replace(url, '^[a-z]+://', '')"
+
+
+def _url_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, {_URL_PATH} AS path FROM pages),
+    s AS (SELECT *, string_split(path, '/') AS seg, regexp_extract(path, '[^/]*$') AS name FROM p)
+    SELECT page_id, (path GLOB '*.html' OR name GLOB '*.html' OR len(list_filter(seg, lambda x: x GLOB '*.html')) > 0) AS by_suffix,
+    (path GLOB 'blog.*' OR len(list_filter(seg, lambda x: x GLOB 'blog.*')) > 0) AS by_segment,
+    (path GLOB '*/de/*' OR name GLOB '*/de/*') AS by_directory, (len(list_filter(seg, lambda x: x GLOB '[em]*')) > 0 OR path GLOB '[em]*') AS by_class FROM s"""
+)
+def exclude_globs(spark, d):
+    rows, path = _url_paths(spark, d), F.col("path")
+    globs = {"by_suffix": "*.html", "by_segment": "blog.*", "by_directory": "*/de/*/", "by_class": "[em]*"}
+    return rows.select("page_id", *(paths.matches_any(path, [g]).alias(n) for n, g in globs.items()))
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, replace(replace(regexp_replace(url, '^[a-z]+://', ''), 'blog.', '.blog'), '/en/', '/build/') AS path FROM pages)
+    SELECT page_id, len(list_filter(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), lambda x: starts_with(x, '.') OR x = 'build')) > 0 AS excluded FROM p"""
+)
+def default_dir_exclusion(spark, d):
+    path = F.replace(F.replace("path", F.lit("blog."), F.lit(".blog")), F.lit("/en/"), F.lit("/build/"))
+    return _url_paths(spark, d).select("page_id", paths.in_excluded_dir(path).alias("excluded"))
+
+
+_RAW_PATH = "CASE doc_id % 5 WHEN 0 THEN 'src/' || rel_path WHEN 1 THEN source || '/' || lang || '/__init__.py' WHEN 2 THEN 'src/__init__.py' WHEN 3 THEN 'src.py' ELSE rel_path END"
+
+
+@query(
+    _with(A.MODULES, f"p AS (SELECT doc_id, {_RAW_PATH} AS path FROM modules)")
+    + r"SELECT doc_id, coalesce(nullif(replace(regexp_replace(regexp_replace(regexp_replace(path, '^src/', ''), '(^|/)__init__\.py$', ''), '\.py$', ''), '/', '.'), ''), 'root') AS module_name FROM p"
+)
+def module_name(spark, d):
+    rows = A.modules(spark, d).select("doc_id", F.expr(_RAW_PATH).alias("path"))
+    return rows.select("doc_id", paths.module_name(F.col("path"), F.lit("root")).alias("module_name"))
+
+
+_TEST_PATH = "CASE doc_id % 6 WHEN 0 THEN 'tests/' || rel_path WHEN 1 THEN lang || '/test_' || doc_id || '.py' WHEN 2 THEN lang || '/' || doc_id || '_test.py' WHEN 3 THEN lang || '/conftest.py' WHEN 4 THEN 'src/tests/a.py' ELSE rel_path END"
+
+
+@query(
+    _with(A.MODULES, f"p AS (SELECT doc_id, {_TEST_PATH} AS path FROM modules)", "n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM p)")
+    + "SELECT doc_id, string_split(path, '/')[1] IN ('tests', 'test') OR name = 'conftest.py' OR starts_with(name, 'test_') OR ends_with(name, '_test.py') AS is_test FROM n"
+)
+def is_test_module(spark, d):
+    rows = A.modules(spark, d).select("doc_id", F.expr(_TEST_PATH).alias("path"))
+    return rows.select("doc_id", paths.is_test_module(F.col("path")).alias("is_test"))
+
+
+# --- algebra of findings
+
+_IGNORED = ("design/god-object@src/brand/1*", "security/weak-hash", "dead-code/unused-import@2.py")
+_SUPPRESSED = """(rule_id = 'design/god-object' AND (path GLOB 'src/brand/1*' OR regexp_extract(path, '[^/]*$') GLOB 'src/brand/1*'))
+ OR rule_id = 'security/weak-hash' OR (rule_id = 'dead-code/unused-import' AND len(list_filter(string_split(path, '/'), lambda x: x = '2.py')) > 0)"""
+
+
+@query(_with(A.FINDINGS) + f"SELECT src_ordinal, rule_id, path, {_SUPPRESSED} AS suppressed FROM findings")
+def suppress_split(spark, d):
+    return A.findings(spark, d).select("src_ordinal", "rule_id", "path", findings.suppression(_IGNORED, F.col("rule_id"), F.col("path")).alias("suppressed"))
+
+
+@query("SELECT CAST(x AS VARCHAR) AS rule_id FROM (VALUES ('security/weak-hash'), ('no/such-rule'), ('another/one')) v(x) EXCEPT SELECT r FROM (VALUES " + ", ".join(f"('{r.id}')" for r in rules.RULES) + ") k(r)")
+def unknown_rules(spark, d):
+    known = spark.createDataFrame([(r.id,) for r in rules.RULES], "rule_id string")
+    asked = spark.createDataFrame([("security/weak-hash",), ("no/such-rule",), ("another/one",)], "rule_id string")
+    return asked.subtract(known)
+
+
+@query(_with(A.FINDINGS) + "SELECT src_ordinal, sha1(rule_id || chr(0) || path || chr(0) || coalesce(symbol, '')) AS fingerprint FROM findings")
+def fingerprint(spark, d):
+    return findings.with_fingerprint(A.findings(spark, d)).select("src_ordinal", "fingerprint")
+
+
+_PRINT = "sha1(rule_id || chr(0) || path || chr(0) || coalesce(symbol, ''))"
+_BASELINE = _with(A.FINDINGS) + f"SELECT rule_id, path, symbol, line, src_ordinal FROM findings WHERE {_PRINT} NEGATED IN (SELECT {_PRINT} FROM findings WHERE src_ordinal % 2 = 0)"
+
+
+def _baseline(spark, d):
+    found = A.findings(spark, d)
+    accepted = findings.with_fingerprint(found.where("src_ordinal % 2 = 0")).select("fingerprint")
+    return [x.select("rule_id", "path", "symbol", "line", "src_ordinal") for x in findings.split_baseline(found, accepted)]
+
+
+@query(_BASELINE.replace("NEGATED", "NOT"))
+def baseline_new(spark, d):
+    return _baseline(spark, d)[0]
+
+
+@query(_BASELINE.replace("NEGATED", ""))
+def baseline_known(spark, d):
+    return _baseline(spark, d)[1]
+
+
+@query(_with(A.FINDINGS) + "SELECT src_ordinal, row_number() OVER (ORDER BY severity DESC, path, coalesce(line, 0), rule_id, rule_ordinal, src_ordinal) AS rank FROM findings")
+def finding_rank(spark, d):
+    order = [F.desc("severity"), F.col("path"), F.coalesce("line", F.lit(0)), F.col("rule_id"), F.col("rule_ordinal"), F.col("src_ordinal")]
+    return findings.ranked(A.findings(spark, d), order).select("src_ordinal", "rank")
+
+
+@query(_with(A.FINDINGS) + "SELECT category, src_ordinal, severity, place, omitted FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY severity DESC, path, coalesce(line, 0), src_ordinal) AS INTEGER) AS place, greatest(count(*) OVER (PARTITION BY category) - 5, 0) AS omitted FROM findings) WHERE place <= 5")
+def topn_per_category(spark, d):
+    order = [F.desc("severity"), F.col("path"), F.coalesce("line", F.lit(0)), F.col("src_ordinal")]
+    return findings.top_per_group(A.findings(spark, d), "category", 5, order).select("category", "src_ordinal", "severity", "place", F.col("omitted").cast("long").alias("omitted"))
+
+
+@query(_with(A.FINDINGS) + f"SELECT src_ordinal, {A.LABEL} AS severity, CASE WHEN severity >= 3 THEN 'error' WHEN severity = 2 THEN 'warning' ELSE 'note' END AS level, coalesce(line, 1) AS start_line FROM findings")
+def sarif_levels(spark, d):
+    level = F.col("severity")
+    return A.findings(spark, d).select("src_ordinal", severity.label(level).alias("severity"), severity.sarif_level(level).alias("level"), F.coalesce("line", F.lit(1)).alias("start_line"))
+
+
+@query(_with(A.FINDINGS, "r AS (SELECT rule_id, category, row_number() OVER (ORDER BY severity DESC, path, coalesce(line, 0), rule_id, src_ordinal) AS k FROM findings)") + "SELECT rule_id, category, min(k) AS first_rank, count(*) AS n FROM r GROUP BY rule_id, category")
+def sarif_rules(spark, d):
+    order = [F.desc("severity"), F.col("path"), F.coalesce("line", F.lit(0)), F.col("rule_id"), F.col("src_ordinal")]
+    rows = findings.ranked(A.findings(spark, d), order)
+    return rows.groupBy("rule_id", "category").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _with(A.FINDINGS)
+    + r"""SELECT src_ordinal, CASE WHEN line IS NULL THEN path ELSE path || ':' || line END AS location,
+    CASE WHEN length(path) > 12 THEN substr(path, 1, 9) || '...' ELSE path END AS short,
+    replace(replace(replace(replace(replace(rule_id || '<&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html,
+    replace(path || '|x', '|', '\|') AS markdown FROM findings"""
+)
+def location_strings(spark, d):
+    path = F.col("path")
+    return A.findings(spark, d).select(
+        "src_ordinal",
+        text.location(path, F.col("line")).alias("location"),
+        text.shorten(path, 12).alias("short"),
+        text.escape_html(F.concat("rule_id", F.lit("<&>"))).alias("html"),
+        text.escape_markdown(F.concat(path, F.lit("|x"))).alias("markdown"),
+    )
+
+
+@query(_with(A.FINDINGS) + "SELECT rule_id, path, line, symbol FROM findings WHERE rule_id = 'design/god-object' AND path = 'src/brand/2.py' ORDER BY severity DESC, path, coalesce(line, 0), src_ordinal LIMIT 1")
+def finding_lookup(spark, d):
+    return packs.lookup(A.findings(spark, d), "design/god-object@src/brand/2.py").select("rule_id", "path", "line", "symbol")
+
+
+@query(_with(A.FINDINGS, A.MODULES) + "SELECT rule_id, path, severity FROM findings WHERE severity >= 4 UNION ALL SELECT 'maintainability/large-file', rel_path, CASE WHEN loc >= 1500 THEN 4 WHEN loc >= 800 THEN 3 ELSE 2 END FROM modules WHERE loc >= 400")
+def rule_union(spark, d):
+    m = A.modules(spark, d).where(F.col("loc") >= T.file_loc_warn)
+    large = m.select(F.lit("maintainability/large-file").alias("rule_id"), F.col("rel_path").alias("path"), severity.scaled(F.col("loc"), T.file_loc_warn, T.file_loc_high, T.file_loc_critical).cast("int").alias("severity"))
+    return A.findings(spark, d).where("severity >= 4").select("rule_id", "path", "severity").unionByName(large)
+
+
+# --- rules
+
+
+def _context(functions: DataFrame, **more) -> rules.Context:
+    c = rules.Context(modules=more.pop("modules", functions), **more)
+    c.__dict__["functions"] = functions
+    return c
+
+
+def _measured(spark, d, rule_id):
+    rows = A.functions(spark, d).withColumnRenamed("path", "rel_path")
+    (rule,) = (r for r in rules.RULES if r.id == rule_id)
+    return rule.find(_context(rows)).select("path", "symbol", "line", "severity")
+
+
+def _measured_sql(column, warn, *scale):
+    cases = " ".join(f"WHEN {column} >= {v} THEN {k}" for k, v in scale)
+    return _with(A.FUNCTIONS) + f"SELECT path, qualname AS symbol, lineno AS line, CASE {cases} ELSE 2 END AS severity FROM functions WHERE {column} >= {warn}"
+
+
+@query(_measured_sql("cyclomatic", 10, (4, 20), (3, 15)))
+def rule_cyclomatic(spark, d):
+    return _measured(spark, d, "complexity/high-cyclomatic-complexity")
+
+
+@query(_measured_sql("cognitive", 15, (4, 40), (3, 25)))
+def rule_cognitive(spark, d):
+    return _measured(spark, d, "complexity/high-cognitive-complexity")
+
+
+@query(_measured_sql("nesting", 4, (3, 6)))
+def rule_deep_nesting(spark, d):
+    return _measured(spark, d, "complexity/deep-nesting")
+
+
+@query(_measured_sql("length", 60, (4, 200), (3, 100)))
+def rule_long_function(spark, d):
+    return _measured(spark, d, "maintainability/long-function")
+
+
+@query(_measured_sql("parameters", 6, (3, 9)))
+def rule_too_many_parameters(spark, d):
+    return _measured(spark, d, "maintainability/too-many-parameters")
+
+
+@query(_with(A.MODULES) + "SELECT rel_path AS path, CASE WHEN loc >= 1500 THEN 4 WHEN loc >= 800 THEN 3 ELSE 2 END AS severity FROM modules WHERE loc >= 400")
+def rule_large_file(spark, d):
+    rows = A.modules(spark, d).select(F.lit("").alias("snapshot"), "rel_path", "loc", F.lit(None).cast("string").alias("syntax_error"))
+    (rule,) = (r for r in rules.RULES if r.id == "maintainability/large-file")
+    return rule.find(rules.Context(modules=rows)).select("path", "severity")
+
+
+@query(
+    _with("k AS (SELECT p_brand, p_type, count(*) AS methods, max(p_partkey % 300) AS length, sum(p_size) AS wmc FROM part GROUP BY 1, 2)")
+    + """SELECT p_brand, p_type, CAST((methods >= 15)::INT + (length >= 250)::INT + (wmc >= 70)::INT AS INTEGER) AS criteria,
+    CASE WHEN (methods >= 15)::INT + (length >= 250)::INT + (wmc >= 70)::INT > 1 THEN 4 ELSE 3 END AS severity FROM k
+    WHERE methods >= 15 OR length >= 250 OR wmc >= 70"""
+)
+def rule_god_object(spark, d):
+    rows = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("methods"), F.max(F.col("p_partkey") % 300).alias("length"), F.sum("p_size").alias("wmc"))
+    rows = rows.withColumn("c", rules.god_criteria(F.col("methods"), F.col("length"), F.col("wmc"), T)).where(F.size("c") > 0)
+    return rows.select("p_brand", "p_type", F.size("c").alias("criteria"), rules.god_level(F.col("c")).cast("int").alias("severity"))
+
+
+@query(_with(A.GROUPS) + "SELECT owner, lcom FROM groups")
+def lcom_components(spark, d):
+    return graphs.cohesion(A.members(spark, d), ["owner"], "method", "attribute").select("owner", F.col("groups").alias("lcom"))
+
+
+@query(_with(A.GROUPS) + "SELECT owner, lcom, CASE WHEN lcom >= 5 THEN 3 ELSE 2 END AS severity FROM groups WHERE lcom >= 3")
+def rule_low_cohesion(spark, d):
+    rows = graphs.cohesion(A.members(spark, d), ["owner"], "method", "attribute").where(F.col("groups") >= T.lcom_warn)
+    return rows.select("owner", F.col("groups").alias("lcom"), rules.cohesion_level(F.col("groups"), T).cast("int").alias("severity"))
+
+
+@query(
+    _with(A.MODULES)
+    + r"""SELECT rel_path AS path, 'module' AS kind FROM modules WHERE NOT starts_with(text, 'The') AND doc_id % 7 <> 0
+    UNION ALL SELECT rel_path || '#' || w, 'symbol' FROM (SELECT rel_path, unnest(list_distinct(list_filter(string_split(substr(text, 1, 200), ' '), lambda x: starts_with(x, 'de')))) AS w FROM modules WHERE doc_id % 7 <> 0)"""
+)
+def rule_missing_docstring(spark, d):
+    files = A.modules(spark, d).where("doc_id % 7 <> 0")
+    own = files.where(~F.col("text").startswith("The")).select(F.col("rel_path").alias("path"), F.lit("module").alias("kind"))
+    words = F.array_distinct(F.filter(F.split(F.substring("text", 1, 200), " "), lambda x: x.startswith("de")))
+    symbols = files.select("rel_path", F.explode(words).alias("w")).select(F.concat_ws("#", "rel_path", "w").alias("path"), F.lit("symbol").alias("kind"))
+    return own.unionByName(symbols)
+
+
+_KINDS = (("hardcoded-secret", r"token = ", 3, "security/hardcoded-secret"), ("weak-hash", r"[0-9a-f]{32}", 2, "security/weak-hash"), ("shell-execution", r"\$\$", 3, "security/shell-execution"))
+
+
+@query(
+    "SELECT doc_id, kind, severity, rule_id FROM documents JOIN (VALUES "
+    + ", ".join(f"('{k}', '{p}', {s}, '{r}')" for k, p, s, r in _KINDS)
+    + ") m(kind, pattern, severity, rule_id) ON regexp_matches(text, pattern)"
+)
+def rule_signals(spark, d):
+    hits = F.array(*(F.when(F.col("text").rlike(p), F.lit(k)) for k, p, _, _ in _KINDS))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("kind"))
+    meta = spark.createDataFrame([(k, s, r) for k, _, s, r in _KINDS], "kind string, severity int, rule_id string")
+    return rows.join(F.broadcast(meta), "kind").select("doc_id", "kind", "severity", "rule_id")
+
+
+@query(
+    r"""SELECT doc_id, name, length(value) AS value_length FROM (SELECT doc_id, regexp_extract(text, '([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"', 1) AS name,
+    regexp_extract(text, '([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"', 2) AS value FROM documents)
+    WHERE name <> '' AND NOT regexp_matches(lower(value), 'example|placeholder|changeme|change_me|dummy|fake|sample|xxxx|your_|todo|<|test')"""
+)
+def secret_scan(spark, d):
+    pattern = r'([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"'
+    rows = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", pattern, 1).alias("name"), F.regexp_extract("text", pattern, 2).alias("value"))
+    placeholder = F.lower("value").rlike("example|placeholder|changeme|change_me|dummy|fake|sample|xxxx|your_|todo|<|test")
+    return rows.where((F.col("name") != "") & ~placeholder).select("doc_id", "name", F.length("value").cast("long").alias("value_length"))
+
+
+_PRIVATE = "'_' || split_part(p_name, ' ', 1) || '_' || (p_partkey % 40)"
+
+
+@query(f"SELECT p_partkey, {_PRIVATE} AS name FROM part WHERE {_PRIVATE} NOT IN (SELECT {_PRIVATE} FROM part WHERE p_size > 47 UNION SELECT {_PRIVATE} FROM part WHERE p_size = 3)")
+def dead_private(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_size", F.expr(_PRIVATE).alias("name"))
+    used = lambda c: F.filter(F.array(F.when(c, F.col("name"))), lambda x: x.isNotNull())
+    m = part.select(F.lit("").alias("snapshot"), used(F.col("p_size") > 47).alias("references"), used(F.col("p_size") == 3).alias("exports"))
+    return part.join(rules.used_names(m).select("name"), "name", "left_anti").select("p_partkey", "name")
+
+
+@query("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'R' AND (l_orderkey, l_partkey % 7) NOT IN (SELECT l_orderkey, l_suppkey % 7 FROM lineitem)")
+def unused_imports(spark, d):
+    rows = table(spark, d, "lineitem")
+    bound = rows.where("l_returnflag <> 'R'").select("l_orderkey", "l_partkey", (F.col("l_partkey") % 7).alias("name"))
+    return bound.join(rows.select("l_orderkey", (F.col("l_suppkey") % 7).alias("name")).distinct(), ["l_orderkey", "name"], "left_anti").select("l_orderkey", "l_partkey").distinct()
+
+
+# --- names and graphs
+
+_DOTTED = r"replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/', '.')"
+
+
+def _dotted(spark, d):
+    name = F.replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), F.lit("/"), F.lit("."))
+    return table(spark, d, "pages").select("page_id", name.alias("dotted"))
+
+
+_NAMES = f"d AS (SELECT page_id, {_DOTTED} AS dotted FROM pages), names AS (SELECT DISTINCT dotted AS name FROM d WHERE page_id % 3 = 0 UNION SELECT DISTINCT array_to_string(list_slice(string_split(dotted, '.'), 1, 4), '.') FROM d WHERE page_id % 3 = 1)"
+_PREFIXES = "pre AS (SELECT page_id, dotted, n, array_to_string(list_slice(string_split(dotted, '.'), 1, n), '.') AS name FROM (SELECT page_id, dotted, unnest(range(1, len(string_split(dotted, '.')) + 1)) AS n FROM d))"
+
+
+@query(_with(_NAMES, _PREFIXES) + "SELECT d.page_id, t.target FROM d LEFT JOIN (SELECT page_id, arg_max(name, n) AS target FROM pre JOIN names USING (name) GROUP BY page_id) t USING (page_id)")
+def import_resolution(spark, d):
+    rows = _dotted(spark, d)
+    head = F.array_join(F.slice(F.split("dotted", r"\."), 1, 4), ".")
+    names = rows.where("page_id % 3 = 0").select(F.col("dotted").alias("name")).union(rows.where("page_id % 3 = 1").select(head)).distinct()
+    found = resolve.longest_prefix(rows.withColumn("c", F.array("dotted")).withColumn("snapshot", F.lit("")), ["snapshot", "page_id"], "c", names.withColumn("snapshot", F.lit("")), ["snapshot"])
+    return found.select("page_id", "target")
+
+
+@query(f"SELECT split_part(dotted, '.', 1) AS package, count(*) AS n FROM (SELECT {_DOTTED} AS dotted FROM pages WHERE page_id % 2 = 0) GROUP BY 1")
+def external_roots(spark, d):
+    rows = _dotted(spark, d).where("page_id % 2 = 0")
+    return rows.groupBy(F.split_part("dotted", F.lit("."), F.lit(1)).alias("package")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CALLS = """calls AS (SELECT DISTINCT CAST(l_partkey % 40 AS VARCHAR) AS module_name, CASE WHEN l_linenumber % 2 = 0 THEN 'K' || (l_suppkey % 6) END AS class_name,
+   CASE WHEN l_linenumber % 2 = 0 THEN (l_partkey % 40) || '.K' || (l_suppkey % 6) || '.m' || (l_linenumber % 3) ELSE (l_partkey % 40) || '.f' || (l_linenumber % 5) END AS caller,
+   CASE l_orderkey % 5 WHEN 0 THEN 'f' || (l_suppkey % 9) WHEN 1 THEN 'self.m' || (l_suppkey % 5) WHEN 2 THEN 'K' || (l_suppkey % 9) || '.m' || (l_partkey % 4) WHEN 3 THEN 'a' || (l_suppkey % 4) ELSE 'a' || (l_suppkey % 4) || '.f' || (l_partkey % 7) END AS call FROM lineitem),
+ local AS (SELECT DISTINCT CAST(p_partkey % 40 AS VARCHAR) AS module_name, 'f' || (p_size % 5) AS call, (p_partkey % 40) || '.f' || (p_size % 5) AS local FROM part),
+ methods AS (SELECT DISTINCT CAST(p_partkey % 40 AS VARCHAR) AS module_name, 'K' || (p_size % 6) AS class_name, 'm' || (p_size % 3) AS method, (p_partkey % 40) || '.K' || (p_size % 6) || '.m' || (p_size % 3) AS callee FROM part WHERE p_size % 2 = 0),
+ aliases AS (SELECT module_name, alias, arg_max(meaning, ordinal) AS meaning FROM (SELECT CAST(s_suppkey % 40 AS VARCHAR) AS module_name, 'a' || (s_suppkey % 3) AS alias, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 7 % 40 AS VARCHAR) ELSE (s_suppkey * 7 % 40) || '.f' || (s_suppkey % 5) END AS meaning, s_suppkey AS ordinal FROM supplier) GROUP BY 1, 2),
+ names AS (SELECT local AS name FROM local UNION SELECT callee FROM methods),
+ own AS (SELECT c.*, split_part(call, '.', 1) AS head, CASE WHEN contains(call, '.') THEN substr(call, instr(call, '.') + 1) END AS tail FROM calls c),
+ j AS (SELECT o.caller, o.head, o.tail, o.class_name, l.local, a.meaning, sm.callee AS self_callee, cm.callee AS class_callee,
+   (o.module_name, o.head) IN (SELECT module_name, class_name FROM methods) AS is_class FROM own o
+   LEFT JOIN local l ON l.module_name = o.module_name AND l.call = o.call LEFT JOIN aliases a ON a.module_name = o.module_name AND a.alias = o.head
+   LEFT JOIN methods sm ON sm.module_name = o.module_name AND sm.class_name = o.class_name AND sm.method = o.tail
+   LEFT JOIN methods cm ON cm.module_name = o.module_name AND cm.class_name = o.head AND cm.method = o.tail),
+ w AS (SELECT *, CASE WHEN local IS NOT NULL THEN NULL WHEN tail IS NULL THEN meaning WHEN head IN ('self', 'cls') AND class_name IS NOT NULL THEN NULL WHEN is_class THEN NULL WHEN meaning IS NOT NULL THEN meaning || '.' || tail END AS through,
+   CASE WHEN local IS NOT NULL THEN local WHEN tail IS NULL THEN NULL WHEN head IN ('self', 'cls') AND class_name IS NOT NULL THEN self_callee WHEN is_class THEN class_callee END AS direct FROM j),
+ q AS (SELECT caller, through, unnest(range(1, len(string_split(through, '.')) + 1)) AS n FROM (SELECT DISTINCT caller, through FROM w WHERE through IS NOT NULL)),
+ t AS (SELECT caller, through, arg_max(name, n) AS callee FROM (SELECT caller, through, n, array_to_string(list_slice(string_split(through, '.'), 1, n), '.') AS name FROM q) JOIN names USING (name) GROUP BY 1, 2)"""
+
+
+@query(_with(_CALLS) + "SELECT caller, callee FROM (SELECT caller, direct AS callee FROM w UNION SELECT caller, callee FROM t) WHERE callee IS NOT NULL AND callee <> caller")
+def call_resolution(spark, d):
+    def view(name, sql):
+        return table(spark, d, name).selectExpr("'' AS snapshot", *sql).distinct()
+
+    module = "CAST(l_partkey % 40 AS STRING)"
+    calls = view(
+        "lineitem",
+        [
+            f"{module} AS module_name",
+            "CASE WHEN l_linenumber % 2 = 0 THEN 'K' || (l_suppkey % 6) END AS class_name",
+            "CASE WHEN l_linenumber % 2 = 0 THEN (l_partkey % 40) || '.K' || (l_suppkey % 6) || '.m' || (l_linenumber % 3) ELSE (l_partkey % 40) || '.f' || (l_linenumber % 5) END AS caller",
+            "CASE l_orderkey % 5 WHEN 0 THEN 'f' || (l_suppkey % 9) WHEN 1 THEN 'self.m' || (l_suppkey % 5) WHEN 2 THEN 'K' || (l_suppkey % 9) || '.m' || (l_partkey % 4) WHEN 3 THEN 'a' || (l_suppkey % 4) ELSE 'a' || (l_suppkey % 4) || '.f' || (l_partkey % 7) END AS call",
+        ],
+    )
+    local = view("part", ["CAST(p_partkey % 40 AS STRING) AS module_name", "'f' || (p_size % 5) AS call", "(p_partkey % 40) || '.f' || (p_size % 5) AS local"])
+    methods = table(spark, d, "part").where("p_size % 2 = 0").selectExpr(
+        "'' AS snapshot", "CAST(p_partkey % 40 AS STRING) AS module_name", "'K' || (p_size % 6) AS class_name", "'m' || (p_size % 3) AS method", "(p_partkey % 40) || '.K' || (p_size % 6) || '.m' || (p_size % 3) AS callee"
+    ).distinct()
+    meaning = F.expr("CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 7 % 40 AS STRING) ELSE (s_suppkey * 7 % 40) || '.f' || (s_suppkey % 5) END")
+    aliases = table(spark, d, "supplier").groupBy(F.lit("").alias("snapshot"), (F.col("s_suppkey") % 40).cast("string").alias("module_name"), F.expr("'a' || (s_suppkey % 3)").alias("alias")).agg(F.max_by(meaning, "s_suppkey").alias("meaning"))
+    names = local.select("snapshot", F.col("local").alias("name")).union(methods.select("snapshot", "callee")).distinct()
+    return resolve.resolve_calls(calls, local, methods, aliases, names).select("caller", "callee")
+
+
+_DEGREES = "deg AS (SELECT v.name, (SELECT count(*) FROM edges WHERE dst = v.name) AS fan_in, (SELECT count(*) FROM edges WHERE src = v.name) AS fan_out FROM vertices v)"
+
+
+def _degrees(spark, d):
+    return graphs.degrees(A.all_vertices(spark, d), A.edges(spark, d))
+
+
+@query(_with(A.EDGES, A.VERTICES, _DEGREES) + "SELECT name, fan_in, fan_out FROM deg")
+def fan_in_out(spark, d):
+    return _degrees(spark, d).select("name", "fan_in", "fan_out")
+
+
+@query(_with(A.EDGES, A.VERTICES) + "SELECT (SELECT count(*) FROM vertices) AS modules, (SELECT count(*) FROM edges) AS imports")
+def graph_counts(spark, d):
+    n = A.all_vertices(spark, d).agg(F.count(F.lit(1)).alias("modules"))
+    return n.join(A.edges(spark, d).agg(F.count(F.lit(1)).alias("imports")))
+
+
+@query(_with(A.EDGES, A.VERTICES, _DEGREES) + "SELECT name, round(CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out)::DOUBLE ELSE 0 END, 6) AS instability FROM deg")
+def instability(spark, d):
+    return _degrees(spark, d).select("name", F.round(graphs.instability(F.col("fan_in"), F.col("fan_out")), 6).alias("instability"))
+
+
+@query(_with(A.EDGES, A.VERTICES, _DEGREES) + "SELECT name, round(fan_out / (fan_in + fan_out)::DOUBLE, 3) AS instability, fan_in, fan_out FROM deg WHERE fan_out > 0 ORDER BY fan_out / (fan_in + fan_out)::DOUBLE DESC, name LIMIT 5")
+def top_unstable(spark, d):
+    rows = _degrees(spark, d).withColumn("exact", graphs.instability(F.col("fan_in"), F.col("fan_out"))).where("exact > 0")
+    return graphs.top(rows, "exact", 5).select("name", F.round("exact", 3).alias("instability"), "fan_in", "fan_out")
+
+
+@query(_with(A.EDGES, A.VERTICES, _DEGREES) + "SELECT name, fan_in FROM deg ORDER BY fan_in DESC, name LIMIT 5")
+def top_fan_in(spark, d):
+    return graphs.top(_degrees(spark, d), "fan_in", 5).select("name", "fan_in")
+
+
+_REACH = "reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst), scc AS (SELECT a.src AS name, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)"
+
+
+@query(_with(A.EDGES, _REACH) + "SELECT name, component FROM scc")
+def scc_cycles(spark, d):
+    return graphs.cyclic_components(A.edges(spark, d)).select("name", "component")
+
+
+@query(_with(A.EDGES, _REACH) + "SELECT component, count(*)::INTEGER AS size, CASE WHEN count(*) >= 3 THEN 3 ELSE 2 END AS severity FROM scc GROUP BY component")
+def rule_cyclic_import(spark, d):
+    rows = graphs.cycles(graphs.cyclic_components(A.edges(spark, d)))
+    return rows.select("component", "size", F.when(F.col("size") >= 3, 3).otherwise(2).alias("severity"))
+
+
+@query(_with(A.EDGES, A.VERTICES) + """SELECT 0 AS part, '    "' || name || '";' AS line FROM vertices UNION ALL SELECT 1, '    "' || src || '" -> "' || dst || '";' FROM edges""")
+def dot_edges(spark, d):
+    return graphs.dot(A.all_vertices(spark, d), A.edges(spark, d))
+
+
+@query(_with(A.EDGES) + "SELECT dst AS callee, count(DISTINCT src) AS callers FROM edges GROUP BY dst")
+def caller_counts(spark, d):
+    return A.edges(spark, d).groupBy(F.col("dst").alias("callee")).agg(F.countDistinct("src").alias("callers"))
+
+
+@query(
+    _with(A.EDGES, A.VERTICES)
+    + "SELECT p_partkey, CASE WHEN v.name IS NOT NULL THEN (SELECT count(DISTINCT src) FROM edges WHERE dst = v.name) END AS callers FROM part LEFT JOIN vertices v ON v.name = CAST(p_partkey % 150 AS VARCHAR)"
+)
+def enrich_callers(spark, d):
+    found = table(spark, d, "part").select("p_partkey", F.lit("").alias("snapshot"), (F.col("p_partkey") % 150).cast("string").alias("symbol"))
+    edges = A.edges(spark, d).select("snapshot", F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    return findings.with_callers(found, A.all_vertices(spark, d), edges).select("p_partkey", F.col("callers").cast("long").alias("callers"))
+
+
+# --- search
+
+_TOKENS = f"tok AS (SELECT doc_id, {A.tokens_sql('text')} AS tokens, {A.tokens_sql('source')} AS symbol FROM documents)"
+_QUERY = "the parseToken src0 tion de la"
+_ASKED = ("parse", "token", "src0", "tion", "de", "la")
+
+
+@query(_with(_TOKENS) + "SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS token FROM tok) GROUP BY 1, 2")
+def tokenize(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with(_TOKENS) + "SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(tokens) AS token FROM tok) GROUP BY 1")
+def document_frequency(spark, d):
+    return search.document_frequency(table(spark, d, "documents").select(text.tokens(F.col("text")).alias("tokens")))
+
+
+@query(_with(_TOKENS) + "SELECT count(*) AS n, round(avg(len(tokens)), 6) AS mean FROM tok")
+def corpus_statistics(spark, d):
+    return search.corpus_statistics(table(spark, d, "documents").select(text.tokens(F.col("text")).alias("tokens"))).select("n", F.round("mean", 6).alias("mean"))
+
+
+def _bm25_sql() -> str:
+    tf = ", ".join(f"len(list_filter(tokens, lambda t: t = '{q}')) AS tf{k}" for k, q in enumerate(_ASKED))
+    df = ", ".join(f"count(*) FILTER (tf{k} > 0) AS df{k}" for k in range(len(_ASKED)))
+    norm = "1.5 * (1 - 0.75 + 0.75 * dl / mean)"
+    parts = " + ".join(f"CASE WHEN tf{k} > 0 THEN ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} * 2.5 / (tf{k} + {norm}) ELSE 0 END" for k in range(len(_ASKED)))
+    return _with(_TOKENS, f"x AS (SELECT doc_id, symbol, len(tokens) AS dl, {tf} FROM tok)", f"c AS (SELECT count(*) AS n, avg(dl) AS mean, {df} FROM x)") + f"SELECT doc_id, score FROM (SELECT doc_id, round({parts}, 4) AS score FROM x, c) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"
+
+
+def _chunks_of_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("symbol"))
+
+
+@query(_bm25_sql())
+def bm25_topk(spark, d):
+    return search.top_hits(search.bm25(_chunks_of_documents(spark, d), search.query_tokens(spark, _QUERY)), 20, 0.0, ("doc_id",)).select("doc_id", "score")
+
+
+@query(
+    _with(
+        _TOKENS,
+        "x AS (SELECT doc_id, symbol, len(tokens) AS dl, len(list_filter(tokens, lambda t: t = 'src0')) AS tf0, len(list_filter(tokens, lambda t: t = 'de')) AS tf1 FROM (SELECT doc_id, symbol, list_concat(tokens, symbol) AS tokens FROM tok))",
+        "c AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM x)",
+        "s AS (SELECT doc_id, ("
+        + " + ".join(f"{m} * CASE WHEN tf{k} > 0 THEN ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} * 2.5 / (tf{k} + 1.5 * (1 - 0.75 + 0.75 * dl / mean)) ELSE 0 END" for k, m in ((0, 2), (1, 0)))
+        + ") * CASE WHEN list_contains(symbol, 'src0') THEN 2 ELSE 1 END AS raw FROM x, c)",
+    )
+    + "SELECT doc_id, round(raw, 4) AS score FROM s WHERE raw > 0 ORDER BY score DESC, doc_id LIMIT 20"
+)
+def bm25_symbol_boost(spark, d):
+    """A query token that occurs twice counts twice; the symbol is part of the text here, so that it can be found."""
+    rows = _chunks_of_documents(spark, d).withColumn("text", F.concat_ws(" ", "text", "symbol"))
+    return search.top_hits(search.bm25(rows, search.query_tokens(spark, "src0 the src0"), symbol="symbol"), 20, 0.0, ("doc_id",)).select("doc_id", "score")
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 4) AS score FROM embeddings WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) > 0.1 ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_topk(spark, d):
+    rows = table(spark, d, "embeddings")
+    asked = [float(x) for x in rows.where("vec_id = 0").first().embedding]
+    return search.cosine_hits(rows, "embedding", asked, 10, 0.1, ("vec_id",)).select("vec_id", "score")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS length, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS first FROM embeddings")
+def l2_normalise(spark, d):
+    unit = search.normalised(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(search.norm(F.col("embedding")), 6).alias("length"), F.round(F.get(unit, F.lit(0)), 6).alias("first"))
+
+
+_SNAPSHOTS = """old_ AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha1(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS old_hash FROM documents WHERE doc_id % 7 <> 0),
+ new_ AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha1(text) AS new_hash FROM documents WHERE doc_id % 11 <> 0),
+ plan_ AS (SELECT coalesce(n.chunk_id, o.chunk_id) AS chunk_id, CASE WHEN n.chunk_id IS NULL THEN 'remove' WHEN old_hash = new_hash THEN 'reuse' ELSE 'embed' END AS action FROM new_ n FULL JOIN old_ o ON o.chunk_id = n.chunk_id)"""
+
+
+def _index_plan(spark, d):
+    rows = table(spark, d, "documents").withColumn("chunk_id", F.col("doc_id").cast("string"))
+    body = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    stored = rows.where("doc_id % 7 <> 0").select("chunk_id", chunks.content_hash(body).alias("content_hash"))
+    new = rows.where("doc_id % 11 <> 0").select("chunk_id", chunks.content_hash(F.col("text")).alias("content_hash"))
+    return index.plan(new, stored)
+
+
+@query(_with(_SNAPSHOTS) + "SELECT chunk_id, action FROM plan_")
+def index_plan(spark, d):
+    return _index_plan(spark, d)
+
+
+@query(_with(_SNAPSHOTS) + "SELECT count(*) FILTER (action = 'embed') AS embedded, count(*) FILTER (action = 'reuse') AS reused, count(*) FILTER (action = 'remove') AS removed FROM plan_")
+def index_stats(spark, d):
+    return index.stats(_index_plan(spark, d))
+
+
+@query(_with(A.MODULES) + "SELECT doc_id, sha1(rel_path || chr(0) || 'module' || chr(0) || source) AS chunk_id, sha1(text) AS content_hash FROM modules")
+def chunk_ids(spark, d):
+    return A.modules(spark, d).select("doc_id", chunks.chunk_id(F.col("rel_path"), F.lit("module"), F.col("source")).alias("chunk_id"), chunks.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT doc_id, least(len(string_split(text, chr(10))), 20)::INTEGER AS end_lineno, array_to_string(list_slice(string_split(text, chr(10)), 1, 20), chr(10)) AS body FROM documents WHERE regexp_matches(text, '[^ \t\r\n\f\v]')")
+def module_preview_chunk(spark, d):
+    lines = F.split("text", "\n", -1)
+    last = F.least(F.size(lines), F.lit(chunks.PREVIEW_LINES))
+    rows = table(spark, d, "documents").where(F.col("text").rlike(r"\S"))
+    return rows.select("doc_id", last.alias("end_lineno"), chunks.span_text(lines, F.lit(1), last).alias("body"))
+
+
+# --- trend
+
+_TREND = f"ranked AS (SELECT *, row_number() OVER (ORDER BY day DESC) - 1 AS pos, count(*) OVER () AS n, {A.SCORE} AS score, {A.GRADE} AS grade FROM days), wanted AS (SELECT DISTINCT CAST(round_even(i * (29) / 9.0, 0) AS BIGINT) AS pos FROM range(10) r(i)), sampled AS (SELECT * FROM ranked WHERE pos IN (SELECT pos FROM wanted))"
+
+
+def _trend(spark, d):
+    return trend.samples_of(scoring.health(A.days(spark, d)), "day", 10)
+
+
+@query(_with(A.DAYS, _TREND) + "SELECT day, score, grade, critical, high, loc FROM sampled")
+def trend_samples(spark, d):
+    return _trend(spark, d).select("day", "score", "grade", "critical", "high", "loc")
+
+
+@query(_with(A.DAYS, _TREND) + "SELECT arg_max(score, day) - arg_min(score, day) AS delta, count(*) AS samples FROM sampled")
+def trend_delta(spark, d):
+    return trend.summary(_trend(spark, d), "day").select("delta", "samples")
+
+
+@query(_with(A.DAYS, _TREND) + "SELECT (SELECT day FROM sampled ORDER BY score DESC, day LIMIT 1) AS best, (SELECT day FROM sampled ORDER BY score, day LIMIT 1) AS worst")
+def trend_best_worst(spark, d):
+    return trend.summary(_trend(spark, d), "day").select("best", "worst")
+
+
+@query(_with(A.DAYS, _TREND) + "SELECT day, score - lag(score) OVER (ORDER BY day) AS change FROM sampled")
+def trend_changes(spark, d):
+    return _trend(spark, d).select("day", (F.col("score") - F.lag("score").over(Window.orderBy("day"))).alias("change"))
+
+
+# --- packs, reviews and other displays
+
+
+@query(
+    _with(A.FINDINGS, A.HISTORY)
+    + f"SELECT f.src_ordinal, {A.LABEL} AS severity, rule_id, CASE WHEN line IS NULL THEN f.path ELSE f.path || ':' || line END AS location, h.commits, h.authors FROM (SELECT * FROM findings ORDER BY severity DESC, path, coalesce(line, 0), rule_id, rule_ordinal, src_ordinal LIMIT 20) f LEFT JOIN history h ON h.path = CAST(f.src_ordinal AS VARCHAR)"
+)
+def context_pack(spark, d):
+    first = findings.ordered(A.findings(spark, d)).limit(20)
+    own = history.file_history(A.changes(spark, d)).select(F.col("path").cast("long").alias("src_ordinal"), "commits", "authors")
+    rows = first.join(own, "src_ordinal", "left")
+    return rows.select("src_ordinal", severity.label(F.col("severity")).alias("severity"), "rule_id", text.location(F.col("path"), F.col("line")).alias("location"), "commits", "authors")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) IN (SELECT p_size FROM part) AS kept FROM events")
+def review_items(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    allowed = table(spark, d, "part").select(F.col("p_size").alias("k")).distinct().withColumn("kept", F.lit(True))
+    return rows.join(allowed, "k", "left").select("event_id", "k", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query(
+    _with(A.FINDINGS, A.MODULES, f"c AS (SELECT {A.COUNTS} FROM findings)", "m AS (SELECT count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM modules)")
+    + f"SELECT files, loc AS source_lines, {A.SCORE} AS score, {A.GRADE} AS grade FROM (SELECT files, loc, {A.PENALTY} / greatest(1.0::DOUBLE, loc / 100.0::DOUBLE) AS dens FROM c, m)"
+)
+def repo_summary(spark, d):
+    m = A.modules(spark, d)
+    scored = scoring.health_score(A.findings(spark, d), m.select("loc"))
+    return m.agg(F.count(F.lit(1)).alias("files")).join(scored.select(F.col("loc").alias("source_lines"), "score", "grade"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 3 = 0 THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM events")
+def iso_timestamps(spark, d):
+    shown = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no "), shown)).otherwise(shown)
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), text.iso_timestamp(raw).cast("timestamp_ntz").alias("parsed"))
+
+
+@query("SELECT doc_id, CASE WHEN length(line) > 60 THEN substr(line, 1, 57) || '...' ELSE line END AS preview FROM (SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS line FROM documents)")
+def search_previews(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+# --- the parse stage, and what reads its rows
+
+
+@query(embedded.FUNCTIONS_SQL)
+def analyze_embedded_functions(spark, d):
+    modules = parse.parse_sources(embedded.sources(spark), "demo")
+    return parse.functions(modules).select("qualname", "lineno", "length", "parameters", "cyclomatic", "cognitive", "nesting", "has_docstring")
+
+
+@query(embedded.FINDINGS_SQL)
+def analyze_embedded_project(spark, d):
+    modules = parse.parse_sources(embedded.sources(spark), "demo")
+    edges, _ = resolve.import_graph(modules)
+    found, _ = rules.run(rules.Context(modules=modules, edges=edges))
+    return found.select("rule_id", "path", "line", "symbol", "severity")
+
+
+@query(embedded.CALLS_SQL)
+def analyze_embedded_calls(spark, d):
+    _, edges = resolve.call_graph(parse.parse_sources(embedded.sources(spark), "demo"))
+    return edges.select("caller", "callee")
+
+
+@query()
+def incremental_stream(spark, d):
+    """Documents as they arrive in files, kept up to date by id and content hash."""
+    return streaming.index_stream.replay(spark, d)
