@@ -1,3 +1,3 @@
-"""graphloom: code and event analytics as Spark SQL plans."""
+"""Analytics of code, its history and of text corpora on Spark."""
 
 __version__ = "0.1.0"

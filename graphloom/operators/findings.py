@@ -17,12 +17,15 @@ SCHEMA = (
     "snapshot string, rule_id string, title string, message string, severity int, category string, path string, line int,"
     " symbol string, suggestion string, details string, rule_ordinal int, src_ordinal long"
 )
-#: Order of findings: the worst first, then by place, then as the rules found them.
-ORDER = ("neg_severity", "path", "line0", "rule_id", "rule_ordinal", "src_ordinal")
+
+
+def order() -> list[Column]:
+    """Order of findings: the worst first, then by place, then as the rules found them."""
+    return [F.desc("severity"), F.col("path"), F.coalesce("line", F.lit(0)), F.col("rule_id"), F.col("rule_ordinal"), F.col("src_ordinal")]
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(F.desc("severity"), "path", F.coalesce("line", F.lit(0)), "rule_id", "rule_ordinal", "src_ordinal")
+    return findings.orderBy(*order())
 
 
 def with_fingerprint(findings: DataFrame) -> DataFrame:

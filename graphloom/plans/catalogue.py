@@ -253,8 +253,7 @@ def baseline_known(spark, d):
 
 @query(_with(A.FINDINGS) + "SELECT src_ordinal, row_number() OVER (ORDER BY severity DESC, path, coalesce(line, 0), rule_id, rule_ordinal, src_ordinal) AS rank FROM findings")
 def finding_rank(spark, d):
-    order = [F.desc("severity"), F.col("path"), F.coalesce("line", F.lit(0)), F.col("rule_id"), F.col("rule_ordinal"), F.col("src_ordinal")]
-    return findings.ranked(A.findings(spark, d), order).select("src_ordinal", "rank")
+    return findings.ranked(A.findings(spark, d), findings.order()).select("src_ordinal", "rank")
 
 
 @query(_with(A.FINDINGS) + "SELECT category, src_ordinal, severity, place, omitted FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY severity DESC, path, coalesce(line, 0), src_ordinal) AS INTEGER) AS place, greatest(count(*) OVER (PARTITION BY category) - 5, 0) AS omitted FROM findings) WHERE place <= 5")

@@ -1,10 +1,5 @@
 """Readers for the Parquet tables that the queries run on."""
 
-from __future__ import annotations
+from graphloom.sources.tables import table
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan ``<sf_dir>/<name>.parquet``; filters and columns are left to the Parquet reader."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+__all__ = ["table"]
