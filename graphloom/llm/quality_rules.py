@@ -168,3 +168,31 @@ def quality_rules(documents: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    failed = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+    hit = lambda names: f"(failed & {mask_of(names)}) <> 0"
+    without = lambda c: f"length(t) - length(translate(t, '{c}', ''))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS words,
+   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+ each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+ wins AS (SELECT doc_id, i, word = lag(word) OVER o AS same,
+   word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS win
+   FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins WHERE win IS NOT NULL) WHERE n > 1),
+ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(5) r(k) GROUP BY doc_id),
+ same AS (SELECT doc_id, count(*) AS n FROM wins WHERE same GROUP BY doc_id),
+ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
+   CAST({without("#*$%&|<>")} AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+   coalesce(covered.n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST({without("!")} AS BIGINT) AS n_exclamations,
+   coalesce(same.n, 0) AS n_same_neighbours, CAST(length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS BIGINT) AS n_letters
+   FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN same USING (doc_id)),
+ f AS (SELECT *, CAST({failed} AS BIGINT) AS failed FROM m)
+SELECT *, {hit(BASE)} AS base_failed, NOT ({hit(BASE)}) AND NOT ({hit(POLICIES[CURRENT])}) AS kept FROM f
+"""
+
+
+ORACLE = _oracle()

@@ -25,4 +25,10 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES = {"op2_exact_dedup": exact.ORACLE, "op7_warc": archives.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES = {
+    "op2_exact_dedup": exact.ORACLE,
+    "op4_quotation_linking": threads.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op7_warc": archives.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+}

@@ -164,3 +164,34 @@ def link_quotations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def op4_quotation_linking(spark, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS whole, row_number() OVER () AS rid FROM conversations),
+ lines AS (SELECT rid, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT rid, string_split_regex(whole, '\r?\n') AS ls FROM m WHERE regexp_matches(whole, '(^|\n)[ \t]*>'))),
+ marked AS (SELECT rid, i, line, length(replace(replace(regexp_extract(line, '^(?:[ \t]*>)+'), ' ', ''), chr(9), '')) AS level FROM lines),
+ bodies AS (SELECT rid, i, level, CASE WHEN level > 0 THEN regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') ELSE line END AS body FROM marked),
+ levels AS (SELECT rid, i, body, CASE WHEN level = 0 AND coalesce(lead(level) OVER o, 0) > 0 AND regexp_matches(body, '{ATTRIBUTION}') THEN -1 ELSE level END AS level
+   FROM bodies WINDOW o AS (PARTITION BY rid ORDER BY i)),
+ turns_of AS (SELECT rid, i, body, level, CASE WHEN lag(level) OVER o = level THEN 0 ELSE 1 END AS fresh FROM levels WINDOW o AS (PARTITION BY rid ORDER BY i)),
+ numbered AS (SELECT rid, i, body, level, sum(fresh) OVER (PARTITION BY rid ORDER BY i) - 1 AS place FROM turns_of),
+ passages AS (SELECT rid, place, level, trim(lower(regexp_replace(string_agg(body, ' ' ORDER BY i), '\s+', ' ', 'g'))) AS said FROM numbered WHERE level > 0 GROUP BY rid, place, level),
+ quoted AS (SELECT * FROM passages WHERE said <> ''),
+ own AS (SELECT rid, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS own FROM numbered GROUP BY rid),
+ rows_ AS (SELECT m.rid, conv_id, turn, role, coalesce(own.own, whole) AS text FROM m LEFT JOIN own USING (rid)),
+ units AS (SELECT conv_id, turn, trim(lower(regexp_replace(unnest(list_concat(list_concat([text], string_split_regex(text, '\n[ \t\r]*\n')), string_split(text, chr(10)))), '\s+', ' ', 'g'))) AS said
+   FROM rows_ WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ originals AS (SELECT conv_id, said, min(turn) AS original FROM units WHERE said <> '' GROUP BY conv_id, said),
+ links AS (SELECT DISTINCT r.conv_id, r.turn, q.level, q.place, q.said, o.original FROM quoted q JOIN rows_ r USING (rid)
+   JOIN originals o ON o.conv_id = r.conv_id AND o.said = q.said WHERE o.original < r.turn),
+ best AS (SELECT conv_id, turn, original, n_linked FROM (SELECT conv_id, turn, original, CAST(count(*) OVER (PARTITION BY conv_id, turn) AS INTEGER) AS n_linked,
+   row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, place, original) AS k FROM links) WHERE k = 1),
+ keys AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM rows_ WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+ tree AS (SELECT k.conv_id, k.turn, coalesce(original, before) AS parent_turn, coalesce(n_linked, 0) AS n_linked FROM keys k LEFT JOIN best b ON b.conv_id = k.conv_id AND b.turn = k.turn),
+ walk AS (SELECT conv_id, turn, [turn] AS path FROM tree WHERE parent_turn IS NULL
+   UNION ALL SELECT t.conv_id, t.turn, list_append(w.path, t.turn) FROM tree t JOIN walk w ON w.conv_id = t.conv_id AND w.turn = t.parent_turn),
+ placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS reply_order FROM walk),
+ counted AS (SELECT rid, CAST(count(*) AS INTEGER) AS n_quoted FROM quoted GROUP BY rid)
+SELECT r.conv_id, r.turn, r.role, r.text, t.parent_turn, p.reply_order, coalesce(c.n_quoted, 0) AS n_quoted, coalesce(t.n_linked, 0) AS n_linked
+FROM rows_ r LEFT JOIN tree t ON t.conv_id = r.conv_id AND t.turn = r.turn LEFT JOIN placed p ON p.conv_id = r.conv_id AND p.turn = r.turn LEFT JOIN counted c USING (rid)
+"""
