@@ -13,10 +13,13 @@ STOPWORDS = (
 
 
 def tokens(text: Column) -> Column:
-    """Parts of ASCII identifiers: split at underscores and inside camelCase, lower-case, without stop words and letters."""
-    names = F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
-    parts = F.flatten(F.transform(names, lambda x: F.split(F.lower(F.regexp_replace(x, "(?<=[a-z0-9])(?=[A-Z])", "_")), "_")))
-    return F.filter(parts, lambda x: (F.length(x) > 1) & ~x.isin(*STOPWORDS))
+    """Parts of ASCII identifiers: split at underscores and inside camelCase, lower-case, without stop words and letters.
+
+    One pass finds the parts after another has marked the humps. An identifier does not begin with a digit, so digits count
+    only inside one or after an underscore.
+    """
+    parts = F.regexp_extract_all(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", "_"), F.lit("(?<=_)[0-9][A-Za-z0-9]+|[A-Za-z][A-Za-z0-9]+"), F.lit(0))
+    return F.filter(F.transform(parts, F.lower), lambda x: ~x.isin(*STOPWORDS))
 
 
 def sha1_of(*parts: Column) -> Column:

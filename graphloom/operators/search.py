@@ -35,6 +35,10 @@ def inverse_frequency(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _count(tokens: Column, token: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == token))
+
+
 def bm25(chunks: DataFrame, query: list[str], body: str = "text", symbol: str | None = None, boost: float = SYMBOL_BOOST) -> DataFrame:
     """Chunks that share a token with ``query``, with ``raw`` and ``score`` (raw to four digits).
 
@@ -46,9 +50,14 @@ def bm25(chunks: DataFrame, query: list[str], body: str = "text", symbol: str |
     if not wanted:
         return chunks.where("false").withColumn("raw", F.lit(0.0)).withColumn("score", F.lit(0.0))
     repeats = Counter(query)
-    rows = chunks.withColumn("_tokens", text.tokens(F.col(body)))
-    rows = rows.withColumn("_tf", F.transform(F.array(*map(F.lit, wanted)), lambda q: F.size(F.filter("_tokens", lambda t: t == q))))
-    rows = rows.withColumn("_len", F.size("_tokens")).drop("_tokens")
+
+    def counted(tokens: Column) -> Column:
+        each = F.array(*(_count(tokens, q) for q in wanted))
+        return F.struct(F.size(tokens).alias("len"), each.alias("tf"))
+
+    # a lambda's variable is computed once, a column would be tokenised anew for each use
+    row = F.element_at(F.transform(F.array(text.tokens(F.col(body))), counted), 1)
+    rows = chunks.withColumn("_row", row).withColumn("_tf", F.col("_row.tf")).withColumn("_len", F.col("_row.len")).drop("_row")
     frequencies = [F.count_if(F.get("_tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(wanted))]
     corpus = rows.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.avg("_len"), F.lit(0.0)).alias("_mean"), *frequencies)  # one row
     norm = F.when(F.col("_mean") > 0, K1 * (1 - B + B * F.col("_len") / F.col("_mean"))).otherwise(F.lit(K1))
