@@ -48,9 +48,9 @@ def _with_target(cells: DataFrame, margin: str, target: Mapping[str, float] | fl
     else:
         wanted = F.pow("has", F.lit(float(target)))
     sums = sums.select(margin, "has", wanted.alias("wanted"))
-    whole = sums.agg(F.sum("has").alias("all_has"), F.sum("wanted").alias("all_wanted"))  # one row
-    share = F.when(F.col("all_wanted") > 0, F.col("wanted") * F.col("all_has") / F.col("all_wanted")).otherwise(F.col("has"))
-    return cells.join(sums.join(F.broadcast(whole)).select(margin, share.alias(f"t_{margin}")), margin)
+    all_has, all_wanted = sums.agg(F.sum("has"), F.sum("wanted")).first()  # two numbers
+    share = F.col("wanted") * F.lit(all_has) / F.lit(all_wanted) if all_wanted else F.col("has")
+    return cells.join(sums.select(margin, share.alias(f"t_{margin}")), margin)
 
 
 def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
