@@ -37,8 +37,8 @@ def top(rows: DataFrame, value: str, limit: int, name: str = "name") -> DataFram
 def cyclic_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """snapshot, name, component (the smallest member) of all vertices on a cycle through another vertex.
 
-    Edges that no cycle can use are trimmed first: those from a vertex that none enters or to one that none leaves. A
-    snapshot whose remaining edges one task can hold is searched there; larger ones go through rounds of colouring.
+    A snapshot whose edges one task can hold is searched there. Larger ones go through rounds of colouring, after edges that
+    no cycle can use are trimmed: those from a vertex that none enters or to one that none leaves.
     """
     edges = edges.where("src <> dst").select("snapshot", "src", "dst").distinct()
     sizes = edges.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"))

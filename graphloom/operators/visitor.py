@@ -11,7 +11,7 @@ import io
 import re
 import tokenize
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 Function = ast.FunctionDef | ast.AsyncFunctionDef
 _INNER = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
@@ -50,20 +50,46 @@ def dotted(node: ast.AST) -> str | None:
     return None
 
 
-def own_nodes(function: ast.AST) -> Iterator[ast.AST]:
+#: Fields without a node that any metric looks at: operators, contexts and plain values.
+_LEAVES = {"ctx", "op", "ops", "id", "attr", "asname", "module", "level", "type_comment", "kind", "simple", "conversion", "is_async"}
+_fields: dict[type, tuple[str, ...]] = {}
+
+
+def children(node: ast.AST) -> list[ast.AST]:
+    """``ast.iter_child_nodes`` without ``_LEAVES``, which are half of all nodes."""
+    cls, out = node.__class__, []
+    names = _fields.get(cls)
+    if names is None:
+        _fields[cls] = names = tuple(f for f in cls._fields if f not in _LEAVES)
+    for name in names:
+        value = getattr(node, name, None)
+        if value.__class__ is list:
+            out += [x for x in value if isinstance(x, ast.AST)]
+        elif isinstance(value, ast.AST):
+            out.append(value)
+    return out
+
+
+def walk(node: ast.AST) -> list[ast.AST]:
+    """The node and all below it, level by level."""
+    nodes = [node]
+    for n in nodes:
+        nodes += children(n)
+    return nodes
+
+
+def own_nodes(function: ast.AST) -> list[ast.AST]:
     """What belongs to a function itself, its decorators and defaults included."""
-    todo = list(ast.iter_child_nodes(function))
-    while todo:
-        node = todo.pop()
-        if not isinstance(node, _INNER):
-            yield node
-            todo.extend(ast.iter_child_nodes(node))
+    nodes = [n for n in children(function) if not isinstance(n, _INNER)]
+    for node in nodes:
+        nodes += [n for n in children(node) if not isinstance(n, _INNER)]
+    return nodes
 
 
-def cyclomatic(function: ast.AST) -> int:
+def cyclomatic(function: ast.AST, own: list[ast.AST] | None = None) -> int:
     """Independent paths."""
     paths = 1
-    for node in own_nodes(function):
+    for node in own_nodes(function) if own is None else own:
         match node:
             case ast.BoolOp(values=operands):
                 paths += len(operands) - 1
@@ -93,17 +119,17 @@ def _effort(node: ast.AST, depth: int) -> tuple[int, list[tuple[Iterable[ast.AST
         case ast.Match():
             return 1 + depth, [(node.cases, depth + 1)]
         case ast.IfExp():
-            return 1 + depth, [(ast.iter_child_nodes(node), depth)]
+            return 1 + depth, [(children(node), depth)]
         case ast.BoolOp():
-            return len(node.values) - 1, [(ast.iter_child_nodes(node), depth)]
+            return len(node.values) - 1, [(children(node), depth)]
         case ast.comprehension():
             return len(node.ifs), [([node.iter, *node.ifs], depth)]
-    return 0, [(ast.iter_child_nodes(node), depth)]
+    return 0, [(children(node), depth)]
 
 
 def cognitive(function: ast.AST) -> int:
     """Effort to follow the control flow: structures cost more the deeper they stand."""
-    total, todo = 0, [(ast.iter_child_nodes(function), 0)]
+    total, todo = 0, [(children(function), 0)]
     while todo:
         nodes, depth = todo.pop()
         for node in nodes:
@@ -182,7 +208,7 @@ def function_row(node: Function, module: str, owner: str | None) -> dict:
     positional = len(a.posonlyargs) + len(a.args)
     if owner is not None and "staticmethod" not in decorators:
         positional = max(0, positional - 1)  # the receiver
-    end = node.end_lineno or node.lineno
+    end, own = node.end_lineno or node.lineno, own_nodes(node)
     return {
         "name": node.name,
         "qualname": ".".join(filter(None, (module, owner, node.name))),
@@ -190,13 +216,13 @@ def function_row(node: Function, module: str, owner: str | None) -> dict:
         "end_lineno": end,
         "length": end - node.lineno + 1,
         "parameters": positional + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None),
-        "cyclomatic": cyclomatic(node),
+        "cyclomatic": cyclomatic(node, own),
         "cognitive": cognitive(node),
         "nesting": nesting(node),
         "class_name": owner,
         "decorators": decorators,
-        "calls": sorted({name for n in own_nodes(node) if isinstance(n, ast.Call) and (name := dotted(n.func))}),
-        "attributes": sorted({name for n in ast.walk(node) if (name := _of_self(n))}),
+        "calls": sorted({name for n in own if isinstance(n, ast.Call) and (name := dotted(n.func))}),
+        "attributes": sorted({name for n in walk(node) if isinstance(n, ast.Attribute) and (name := _of_self(n))}),
         "is_stub": _is_stub(node),
         "has_docstring": ast.get_docstring(node) is not None,
     }
@@ -231,7 +257,7 @@ def class_row(node: ast.ClassDef, module: str) -> dict:
     for child in node.body:
         if isinstance(child, Function):
             methods.append(function_row(child, module, node.name))
-            attributes.update(name for n in ast.walk(child) for t in _targets(n) if (name := _of_self(t)))
+            attributes.update(name for n in walk(child) for t in _targets(n) if (name := _of_self(t)))
         else:
             attributes.update(t.id for t in _targets(child) if isinstance(t, ast.Name))
     end = node.end_lineno or node.lineno
@@ -263,10 +289,10 @@ def import_rows(node: ast.Import | ast.ImportFrom) -> list[dict]:
     ]
 
 
-def references(tree: ast.AST) -> set[str]:
+def references(nodes: list[ast.AST]) -> set[str]:
     """Names that count as used: those read, all attributes, and texts that could be names."""
     found = set()
-    for node in ast.walk(tree):
+    for node in nodes:
         match node:
             case ast.Name(id=name, ctx=ast.Load()) | ast.Attribute(attr=name):
                 found.add(name)
@@ -287,9 +313,8 @@ def exports(statement: ast.stmt) -> set[str]:
 class Signals:
     """Security signals of a file; imports anywhere in it name what a call means."""
 
-    def __init__(self, tree: ast.Module):
+    def __init__(self, nodes: list[ast.AST]):
         self.aliases: dict[str, str] = {}
-        nodes = list(ast.walk(tree))
         for node in nodes:
             match node:
                 case ast.Import(names=names):
@@ -298,8 +323,9 @@ class Signals:
                     self.aliases |= {a.asname or a.name: f"{module}.{a.name}" for a in names}
         found = []
         for node in nodes:
-            said = self.of_call(node) if isinstance(node, ast.Call) else self.of_assignment(node)
-            if said:
+            if not isinstance(node, (ast.Call, ast.Assign, ast.AnnAssign)):
+                continue
+            if said := self.of_call(node) if isinstance(node, ast.Call) else self.of_assignment(node):
                 found.append({"kind": said[0], "lineno": node.lineno, "detail": said[1]})
         self.rows = sorted(found, key=lambda s: (s["lineno"], s["kind"]))
 
@@ -390,7 +416,7 @@ def module_row(content: bytes, module: str) -> dict:
 
 
 def _tree_rows(tree: ast.Module, module: str) -> dict:
-    functions, classes, imports, exported = [], [], [], set()
+    functions, classes, imports, exported, nodes = [], [], [], set(), walk(tree)
     for statement in tree.body:
         match statement:
             case ast.FunctionDef() | ast.AsyncFunctionDef():
@@ -405,8 +431,8 @@ def _tree_rows(tree: ast.Module, module: str) -> dict:
         "functions": functions,
         "classes": classes,
         "imports": imports,
-        "signals": Signals(tree).rows,
+        "signals": Signals(nodes).rows,
         "exports": sorted(exported),
-        "references": sorted(references(tree)),
+        "references": sorted(references(nodes)),
         "has_docstring": ast.get_docstring(tree) is not None,
     }

@@ -90,7 +90,7 @@ def test_function_row():
     ],
 )
 def test_signals(source, kinds):
-    rows = v.Signals(ast.parse(source)).rows
+    rows = v.Signals(v.walk(ast.parse(source))).rows
     assert [r["kind"] for r in rows] == kinds and not any("a1b2" in r["detail"] for r in rows)
 
 
