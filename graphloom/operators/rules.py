@@ -1,14 +1,15 @@
-"""The detection rules: each a filter and projection of one relation into the finding table.
+"""The detection rules: each a condition on a relation and what to say where it holds.
 
-A rule is a name and a function from the context (relations and thresholds) to a DataFrame; a new one is one more entry of
-``RULES``. Plans are built lazily, so a rule that cannot be planned is reported and the others still run.
+A rule is a name and a function from the context (relations and thresholds) to its matches; a new one is one more entry of
+``RULES``. All matches on one relation are evaluated in one pass over it, however many rules look at it. Plans are built
+lazily, so a rule that cannot be planned is reported and the others still run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,70 +47,76 @@ class Context:
         return parse.signals(self.modules)
 
 
+@dataclass(frozen=True)
+class Match:
+    """Rows of a relation (with snapshot and rel_path) where a rule holds, and its part of the finding as a struct."""
+
+    relation: DataFrame
+    where: Column
+    said: Column
+    #: Number of the rule in a run.
+    rule: int = -1
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
     title: str
     description: str
     suggestion: str
-    find: Callable[[Context], DataFrame]
+    find: Callable[[Context], list[Match]]
 
     @property
     def category(self) -> str:
         return self.id.partition("/")[0]
 
 
-def _rows(frame: DataFrame, *, level: Column, message: Column, line: Column | None = None, symbol: Column | None = None, ordinal: Column | None = None, **details: Column) -> DataFrame:
+def _match(relation: DataFrame, where: Column | None = None, *, level: Column, message: Column, line: Column | None = None, symbol: Column | None = None, ordinal: Column | None = None, **details: Column) -> list[Match]:
     """What a rule says of its rows; the rest of a finding is the same for all of them."""
     none = lambda kind: F.lit(None).cast(kind)
     values = F.to_json(F.struct(*(v.alias(k) for k, v in details.items())), {"ignoreNullFields": "false"}) if details else F.lit("{}")
-    return frame.select(
-        "snapshot",
-        F.col("rel_path").alias("path"),
+    said = F.struct(
         level.cast("int").alias("severity"),
         message.alias("message"),
-        (none("int") if line is None else line).alias("line"),
+        (none("int") if line is None else line.cast("int")).alias("line"),
         (none("string") if symbol is None else symbol).alias("symbol"),
         values.alias("details"),
         (F.lit(0) if ordinal is None else ordinal).cast("long").alias("src_ordinal"),
     )
+    return [Match(relation, F.lit(True) if where is None else where, said)]
 
 
 def _measure(column: str, what: str, warn: str, bounds: tuple[str, ...], name: str | None = None):
     """A rule on one measured value of functions, scaled by up to three thresholds."""
 
-    def find(c: Context) -> DataFrame:
+    def find(c: Context) -> list[Match]:
         t = c.thresholds.as_dict()
         value, limits = F.col(column), [t[b] for b in bounds]
         level = severity.scaled(value, *limits) if len(limits) == 3 else F.when(value >= limits[-1], severity.HIGH).otherwise(severity.MEDIUM)
         names = dict(zip(("warn", "high", "critical"), map(F.lit, limits)))
         message = F.format_string(f"`%s`: {what} is %d, from %d on it is reported.", "qualname", value, F.lit(t[warn]))
-        rows = c.functions.where(value >= t[warn])
-        return _rows(rows, level=level, message=message, line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"), **{name or column: value}, **names)
+        return _match(c.functions, value >= t[warn], level=level, message=message, line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"), **{name or column: value}, **names)
 
     return find
 
 
-def _syntax_errors(c: Context) -> DataFrame:
-    rows = c.modules.where("syntax_error IS NOT NULL")
+def _syntax_errors(c: Context) -> list[Match]:
     message = F.format_string("%s cannot be parsed (%s).", "rel_path", "syntax_error")
-    return _rows(rows, level=F.lit(severity.HIGH), message=message, line=F.lit(1), error=F.col("syntax_error"))
+    return _match(c.modules, F.col("syntax_error").isNotNull(), level=F.lit(severity.HIGH), message=message, line=F.lit(1), error=F.col("syntax_error"))
 
 
-def _many_parameters(c: Context) -> DataFrame:
+def _many_parameters(c: Context) -> list[Match]:
     t, n = c.thresholds, F.col("parameters")
     level = F.when(n > t.parameters_high, severity.HIGH).otherwise(severity.MEDIUM)
     message = F.format_string("`%s` takes %d parameters, more than %d.", "qualname", n, F.lit(t.parameters_warn))
-    rows = c.functions.where(n > t.parameters_warn)
-    return _rows(rows, level=level, message=message, line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"), parameters=n, warn=F.lit(t.parameters_warn), high=F.lit(t.parameters_high))
+    return _match(c.functions, n > t.parameters_warn, level=level, message=message, line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"), parameters=n, warn=F.lit(t.parameters_warn), high=F.lit(t.parameters_high))
 
 
-def _large_files(c: Context) -> DataFrame:
+def _large_files(c: Context) -> list[Match]:
     t, n = c.thresholds, F.col("loc")
     level = severity.scaled(n, t.file_loc_warn, t.file_loc_high, t.file_loc_critical)
-    rows = c.modules.where((n >= t.file_loc_warn) & F.col("syntax_error").isNull())
     message = F.format_string("%s has %d lines of code.", "rel_path", n)
-    return _rows(rows, level=level, message=message, line=F.lit(1), loc=n, warn=F.lit(t.file_loc_warn), high=F.lit(t.file_loc_high), critical=F.lit(t.file_loc_critical))
+    return _match(c.modules, (n >= t.file_loc_warn) & F.col("syntax_error").isNull(), level=level, message=message, line=F.lit(1), loc=n, warn=F.lit(t.file_loc_warn), high=F.lit(t.file_loc_high), critical=F.lit(t.file_loc_critical))
 
 
 def god_criteria(methods: Column, length: Column, wmc: Column, t: Thresholds) -> Column:
@@ -127,13 +134,12 @@ def god_level(criteria: Column) -> Column:
     return F.when(F.size(criteria) > 1, severity.CRITICAL).otherwise(severity.HIGH)
 
 
-def _god_objects(c: Context) -> DataFrame:
-    rows = c.classes.withColumn("criteria", god_criteria(F.col("public_method_count"), F.col("length"), F.col("wmc"), c.thresholds))
-    rows = rows.where(F.size("criteria") > 0)
-    message = F.format_string("Class `%s` in %s does too much: %s.", "name", "rel_path", F.array_join("criteria", "; "))
-    return _rows(
-        rows, level=god_level(F.col("criteria")), message=message, line=F.col("lineno"), symbol=F.col("symbol"), ordinal=F.col("ordinal"),
-        methods=F.col("public_method_count"), loc=F.col("length"), wmc=F.col("wmc"), attributes=F.col("attribute_count"), criteria=F.col("criteria"),
+def _god_objects(c: Context) -> list[Match]:
+    criteria = god_criteria(F.col("public_method_count"), F.col("length"), F.col("wmc"), c.thresholds)
+    message = F.format_string("Class `%s` in %s does too much: %s.", "name", "rel_path", F.array_join(criteria, "; "))
+    return _match(
+        c.classes, F.size(criteria) > 0, level=god_level(criteria), message=message, line=F.col("lineno"), symbol=F.col("symbol"), ordinal=F.col("ordinal"),
+        methods=F.col("public_method_count"), loc=F.col("length"), wmc=F.col("wmc"), attributes=F.col("attribute_count"), criteria=criteria,
     )
 
 
@@ -141,16 +147,15 @@ def cohesion_level(lcom: Column, t: Thresholds) -> Column:
     return F.when(lcom >= t.lcom_high, severity.HIGH).otherwise(severity.MEDIUM)
 
 
-def _low_cohesion(c: Context) -> DataFrame:
+def _low_cohesion(c: Context) -> list[Match]:
     n = F.col("lcom")
     message = F.format_string("The methods of class `%s` in %s fall into %d groups that share nothing.", "name", "rel_path", n)
-    rows = c.classes.where(n >= c.thresholds.lcom_warn)
-    return _rows(rows, level=cohesion_level(n, c.thresholds), message=message, line=F.col("lineno"), symbol=F.col("symbol"), ordinal=F.col("ordinal"), lcom=n, methods=F.col("method_count"), attributes=F.col("attribute_count"))
+    return _match(c.classes, n >= c.thresholds.lcom_warn, level=cohesion_level(n, c.thresholds), message=message, line=F.col("lineno"), symbol=F.col("symbol"), ordinal=F.col("ordinal"), lcom=n, methods=F.col("method_count"), attributes=F.col("attribute_count"))
 
 
-def _unused_imports(c: Context) -> DataFrame:
+def _unused_imports(c: Context) -> list[Match]:
     message = F.format_string("`%s` (`%s`) is not used in %s.", "bound", "display", "rel_path")
-    return _rows(c.imports.where("unused"), level=F.lit(severity.LOW), message=message, line=F.col("lineno"), ordinal=F.col("ordinal"), name=F.col("bound"), statement=F.col("display"))
+    return _match(c.imports, F.col("unused"), level=F.lit(severity.LOW), message=message, line=F.col("lineno"), ordinal=F.col("ordinal"), name=F.col("bound"), statement=F.col("display"))
 
 
 def used_names(modules: DataFrame) -> DataFrame:
@@ -159,14 +164,14 @@ def used_names(modules: DataFrame) -> DataFrame:
     return each.distinct()
 
 
-def _dead_functions(c: Context) -> DataFrame:
+def _dead_functions(c: Context) -> list[Match]:
     rows = c.functions.where("is_private AND NOT is_decorated").join(used_names(c.modules), ["snapshot", "name"], "left_anti")
     kind = F.when(F.col("is_method"), "method").otherwise("function")
     message = F.format_string("Nothing refers to the private %s `%s`.", kind, "qualname")
-    return _rows(rows, level=F.lit(severity.LOW), message=message, line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"), name=F.col("name"), kind=kind)
+    return _match(rows, level=F.lit(severity.LOW), message=message, line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"), name=F.col("name"), kind=kind)
 
 
-def _cyclic_imports(c: Context) -> DataFrame:
+def _cyclic_imports(c: Context) -> list[Match]:
     cycles = graphs.cycles(graphs.cyclic_components(c.edges))
     where = c.modules.groupBy("snapshot", F.col("module_name").alias("component")).agg(F.max(F.split("rel_path", "/")).alias("at"))
     rows = cycles.join(where, ["snapshot", "component"], "left")
@@ -174,36 +179,33 @@ def _cyclic_imports(c: Context) -> DataFrame:
     rows = rows.withColumn("rel_path", F.coalesce(F.array_join("at", "/"), guess))
     message = F.format_string("%d modules import each other: %s.", "size", F.array_join("members", " <-> "))
     level = F.when(F.col("size") >= 3, severity.HIGH).otherwise(severity.MEDIUM)
-    return _rows(rows, level=level, message=message, modules=F.col("members"), size=F.col("size"))
+    return _match(rows, level=level, message=message, modules=F.col("members"), size=F.col("size"))
 
 
-def _missing_docstrings(c: Context) -> DataFrame:
-    files = c.modules.where(F.col("syntax_error").isNull() & ~paths.is_test_module(F.col("rel_path")))
-    public = ~F.col("name").startswith("_")
-    own = files.where("NOT has_docstring").withColumn("said", F.format_string("Module `%s`", "rel_path")).withColumn("at", F.lit(1))
-    shape = ["snapshot", "rel_path", "module_name", "said", "at", "symbol", "ordinal"]
-    own = own.withColumn("symbol", F.lit(None).cast("string")).withColumn("ordinal", F.lit(-1)).select(*shape)
-    f = parse.functions(files).where(public & ~F.col("is_decorated") & ~F.col("has_docstring"))
-    f = f.select("snapshot", "rel_path", "module_name", F.format_string("`%s`", "qualname").alias("said"), F.col("lineno").alias("at"), F.col("qualname").alias("symbol"), "ordinal")
-    k = parse.classes(files).where(public & ~F.col("has_docstring"))
-    k = k.select("snapshot", "rel_path", "module_name", F.format_string("Class `%s`", "symbol").alias("said"), F.col("lineno").alias("at"), "symbol", "ordinal")
-    rows = own.unionByName(f).unionByName(k)
-    return _rows(rows, level=F.lit(severity.LOW), message=F.concat("said", F.lit(" has no docstring.")), line=F.col("at"), symbol=F.col("symbol"), ordinal=F.col("ordinal"), module=F.col("module_name"))
+def _missing_docstrings(c: Context) -> list[Match]:
+    checked = ~paths.is_test_module(F.col("rel_path")) & ~F.col("has_docstring")
+    public = checked & ~F.col("name").startswith("_")
+    tail = F.lit(" has no docstring.")
+    same = {"level": F.lit(severity.LOW), "module": F.col("module_name")}
+    return [
+        *_match(c.modules, checked & F.col("syntax_error").isNull(), message=F.concat(F.format_string("Module `%s`", "rel_path"), tail), line=F.lit(1), ordinal=F.lit(-1), **same),
+        *_match(c.functions, public & ~F.col("is_decorated"), message=F.concat(F.format_string("`%s`", "qualname"), tail), line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"), **same),
+        *_match(c.classes, public, message=F.concat(F.format_string("Class `%s`", "symbol"), tail), line=F.col("lineno"), symbol=F.col("symbol"), ordinal=F.col("ordinal"), **same),
+    ]
 
 
 def _signal(kind: str, level: int, text: str):
-    def find(c: Context) -> DataFrame:
-        rows = c.signals.where(F.col("kind") == kind)
+    def find(c: Context) -> list[Match]:
         message = F.format_string(f"{text}: %s in %s.", "detail", "rel_path")
-        return _rows(rows, level=F.lit(level), message=message, line=F.col("lineno"), ordinal=F.col("ordinal"), kind=F.col("kind"), detail=F.col("detail"))
+        return _match(c.signals, F.col("kind") == kind, level=F.lit(level), message=message, line=F.col("lineno"), ordinal=F.col("ordinal"), kind=F.col("kind"), detail=F.col("detail"))
 
     return find
 
 
-def _hotspots(c: Context) -> DataFrame:
+def _hotspots(c: Context) -> list[Match]:
     t = c.thresholds
     if c.history is None:
-        return c.functions.where("false").transform(lambda d: _rows(d, level=F.lit(0), message=F.lit("")))
+        return []
     empty = "path string, qualname string, commits long, authors long, lines int, last_modified string"
     churn = c.churn if c.churn is not None else c.modules.sparkSession.createDataFrame([], empty)
     functions = c.functions.withColumnRenamed("rel_path", "path")
@@ -212,7 +214,7 @@ def _hotspots(c: Context) -> DataFrame:
     of_function = F.col("scope") == "function"
     own = F.format_string("`%s` has complexity %d; its lines changed in %d commits by %d author(s), last on %s.", "qualname", "cyclomatic", "own_commits", "own_authors", F.coalesce(F.substring("own_modified", 1, 10), F.lit("unknown")))
     file = F.format_string("`%s` has complexity %d; its file changed %d times, %d lines in all.", "qualname", "cyclomatic", "file_commits", "file_churn")
-    return _rows(
+    return _match(
         rows, level=F.col("level"), message=F.when(of_function, own).otherwise(file), line=F.col("lineno"), symbol=F.col("qualname"), ordinal=F.col("ordinal"),
         scope=F.col("scope"), cyclomatic=F.col("cyclomatic"), commits=F.when(of_function, F.col("own_commits")).otherwise(F.col("file_commits")),
         authors=F.when(of_function, F.col("own_authors")).otherwise(F.col("file_authors")),
@@ -244,17 +246,52 @@ RULES = (
 )
 
 
+def _planned(matches: list[Match]) -> DataFrame:
+    """All matches on one relation, in one pass; raises if one of them does not resolve."""
+    relation = matches[0].relation
+    hits = F.filter(F.array(*(F.when(m.where, m.said) for m in matches)), lambda x: x.isNotNull())
+    return relation.select("snapshot", F.col("rel_path").alias("path"), F.inline(hits).alias("rule_ordinal", "said")).select("snapshot", "path", "rule_ordinal", "said.*")
+
+
 def run(context: Context, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, list[str]]:
     """All findings (unordered), and a warning per rule that could not be planned."""
-    found, warnings = [], []
+    warnings: list[str] = []
+    by_relation: dict[int, list[Match]] = {}
+
+    def failed(k: int, error: Exception) -> None:
+        warnings.append(f"rule {rules[k].id} failed: {error}")
+
     for k, rule in enumerate(rules):
         try:
-            rows = rule.find(context)
-            rows.schema  # noqa: B018  a plan that does not resolve fails here
+            for m in rule.find(context):
+                numbered = F.struct(F.lit(k).alias("rule_ordinal"), m.said.alias("said"))
+                by_relation.setdefault(id(m.relation), []).append(Match(m.relation, m.where, numbered, k))
         except Exception as error:
-            warnings.append(f"rule {rule.id} failed: {error}")
-            continue
-        given = {"rule_id": rule.id, "title": rule.title, "category": rule.category, "suggestion": rule.suggestion}
-        found.append(rows.withColumns({n: F.lit(v) for n, v in given.items()} | {"rule_ordinal": F.lit(k)}))
-    empty = context.modules.sparkSession.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, found, empty), warnings
+            failed(k, error)
+    found = context.modules.sparkSession.createDataFrame([], SCHEMA).drop("rule_id", "title", "category", "suggestion")
+    for matches in by_relation.values():
+        try:
+            rows = _planned(matches)
+        except Exception:  # one of them: the others are planned without it
+            kept = []
+            for m in matches:
+                try:
+                    _planned([m])
+                    kept.append(m)
+                except Exception as error:
+                    failed(m.rule, error)
+            if not kept:
+                continue
+            rows = _planned(kept)
+        found = found.unionByName(rows)
+    named = {n: F.get(F.array(*(F.lit(getattr(r, a)) for r in rules)), F.col("rule_ordinal")) for n, a in (("rule_id", "id"), ("title", "title"), ("category", "category"), ("suggestion", "suggestion"))}
+    return found.withColumns(named), warnings
+
+
+def only(rule_id: str, context: Context) -> DataFrame:
+    """Findings of one rule; errors are raised."""
+    (rule,) = (r for r in RULES if r.id == rule_id)
+    found, warnings = run(context, (rule,))
+    if warnings:
+        raise ValueError(warnings[0])
+    return found

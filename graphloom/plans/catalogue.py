@@ -16,6 +16,7 @@ from graphloom.config import Thresholds
 from graphloom.functions import paths, severity, text
 from graphloom.operators import chunks, findings, graphs, history, index, packs, parse, resolve, rules, scoring, search, trend
 from graphloom.plans import analogues as A
+from graphloom.session import cut
 from graphloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,8 +317,7 @@ def _context(functions: DataFrame, **more) -> rules.Context:
 
 def _measured(spark, d, rule_id):
     rows = A.functions(spark, d).withColumnRenamed("path", "rel_path")
-    (rule,) = (r for r in rules.RULES if r.id == rule_id)
-    return rule.find(_context(rows)).select("path", "symbol", "line", "severity")
+    return rules.only(rule_id, _context(rows)).select("path", "symbol", "line", "severity")
 
 
 def _measured_sql(column, warn, *scale):
@@ -353,8 +353,7 @@ def rule_too_many_parameters(spark, d):
 @query(_with(A.MODULES) + "SELECT rel_path AS path, CASE WHEN loc >= 1500 THEN 4 WHEN loc >= 800 THEN 3 ELSE 2 END AS severity FROM modules WHERE loc >= 400")
 def rule_large_file(spark, d):
     rows = A.modules(spark, d).select(F.lit("").alias("snapshot"), "rel_path", "loc", F.lit(None).cast("string").alias("syntax_error"))
-    (rule,) = (r for r in rules.RULES if r.id == "maintainability/large-file")
-    return rule.find(rules.Context(modules=rows)).select("path", "severity")
+    return rules.only("maintainability/large-file", rules.Context(modules=rows)).select("path", "severity")
 
 
 @query(
@@ -768,8 +767,8 @@ def analyze_embedded_functions(spark, d):
 
 @query(embedded.FINDINGS_SQL)
 def analyze_embedded_project(spark, d):
-    modules = parse.parse_sources(embedded.sources(spark), "demo")
-    edges, _ = resolve.import_graph(modules)
+    modules = cut(parse.parse_sources(embedded.sources(spark), "demo"))  # twenty rules read it
+    edges = cut(resolve.import_graph(modules)[0])
     found, _ = rules.run(rules.Context(modules=modules, edges=edges))
     return found.select("rule_id", "path", "line", "symbol", "severity")
 

@@ -5,6 +5,7 @@ import subprocess
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import api, cli, doctor, embedded, engine, reports
 from graphloom.config import Settings, Thresholds, load_settings, parse_settings
@@ -225,7 +226,7 @@ def test_command_line(spark, project, tmp_path):
 def test_a_broken_rule_is_a_warning(spark, project, monkeypatch):
     from graphloom.operators import rules
 
-    bad = rules.Rule("x/y", "t", "d", "s", lambda c: c.modules.select("no_such_column"))
+    bad = rules.Rule("x/y", "t", "d", "s", lambda c: rules._match(c.modules, F.col("no_such_column"), level=F.lit(1), message=F.lit("m")))
     found, warnings = rules.run(rules.Context(api.analyze(spark, project, Settings(), use_history=False).modules), (bad, rules.RULES[0]))
     assert found.count() == 1 and len(warnings) == 1 and "x/y" in warnings[0]
 
