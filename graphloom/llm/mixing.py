@@ -104,22 +104,16 @@ def mix(documents: DataFrame, targets: Mapping[str, Mapping[str, float] | float]
 def keep_sampled(documents: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """The rows of ``documents`` that are drawn at least once, with their columns."""
     rates, n = _rates(documents, targets, rounds)
-    names = [f"{m}_of_cell" for m in MARGINS]
-    while set(names) & set(documents.columns):
-        names = [f"{x}_" for x in names]
-    rates = rates.select(*(F.col(m).alias(x) for m, x in zip(MARGINS, names)), "rate")
+    prefix = "cell"
+    while any(c.lower().startswith(prefix) for c in documents.columns):
+        prefix += "_"
+    names, rate, u = [f"{prefix}{m}" for m in MARGINS], f"{prefix}rate", f"{prefix}draw"
+    rates = rates.select(*(F.col(m).alias(x) for m, x in zip(MARGINS, names)), F.col("rate").alias(rate))
     text = text_of()
-    words = F.regexp_count(text, F.lit(WORD))
-    own = [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in MARGINS[:2]] + [topic(words, text)]
-    rows = documents
-    for value, x in zip(own, names):
-        rows = rows.withColumn(x, value)
-    # the rate enters as a filter only, so no name of the documents can clash with it
-    u = draw(F.col("doc_id").cast("long"), seed)
-    marked = rows.withColumn(f"{names[0]}_draw", u)
-    kept = rates.withColumnRenamed("rate", f"{names[0]}_rate")
-    joined = marked.join(F.broadcast(kept) if n <= FEW else kept, names)
-    return joined.where(F.col(f"{names[0]}_draw") < F.col(f"{names[0]}_rate")).select(*(documents[c] for c in documents.columns))
+    own = [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in MARGINS[:2]] + [topic(F.regexp_count(text, F.lit(WORD)), text)]
+    marked = documents.withColumns(dict(zip(names, own)) | {u: draw(F.col("doc_id").cast("long"), seed)})
+    joined = marked.join(F.broadcast(rates) if n <= FEW else rates, names)
+    return joined.where(F.col(u) < F.col(rate)).select(*documents.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -37,3 +37,9 @@ def test_kept_rows(spark):
     assert collected(kept) == sorted((r for r in map(tuple, frame(spark).collect()) if r[0] in rows), key=repr)
     assert M.mix(frame(spark)).count() == len(edge_rows())
     assert M.mix(frame(spark, [])).count() == M.keep_sampled(frame(spark, [])).count() == 0
+
+
+def test_clashing_names(spark):
+    odd = frame(spark).withColumns({"Cell_rate": F.lit(1), "cell": F.lit("x"), "topic": F.lit("t"), "rate": F.lit(9)})
+    kept = M.keep_sampled(odd)
+    assert kept.columns == odd.columns and kept.count() == M.keep_sampled(frame(spark)).count() == M.mix(odd).where("kept").count()

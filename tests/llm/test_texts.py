@@ -209,3 +209,10 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 200), (300, 301), (301, 300)]
     found = dict(map(tuple, components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert found == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 160)} | {300: 300, 301: 300}
+
+
+def test_empty_tables(spark):
+    none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert bpe.encode_documents(none, VOCABULARY).count() == quality_rules.quality_rules(none).count() == 0
+    assert toxicity.toxicity_scores(none, labels).count() == classifier.quality_scores(none, labels).count() == 0
+    assert {(r.n_failed, r.n_only, r.n_removed_without) for r in quality_rules.ablations(quality_rules.ledger(none)).collect()} <= {(0, 0, 0)}
