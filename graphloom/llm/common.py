@@ -89,11 +89,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
     """At most ``max_rows`` labelled texts on the driver, the same ones at every run.
 
     The labels are cut first, by a hash of the id, so that what is broadcast and what is collected has at most
-    ``max_rows`` rows whatever the size of the corpus. Null ids, labels and texts are left out. Returns (texts, labels).
+    ``max_rows`` rows whatever the size of the corpus: of rows that share an id, however many, the least text counts. Null
+    ids, labels and texts are left out. Returns (texts, labels).
     """
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep)
         .select("doc_id", F.col(label).cast("int").alias("y"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(max_rows)
     )
@@ -101,8 +103,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
         documents.where(F.col("text").isNotNull())
         .select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "text", "y")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("y", "ascending")])
     )
-    return rows.column("text").cast("binary").to_pylist()[:max_rows], rows.column("y").to_pylist()[:max_rows]
+    return rows.column("text").cast("binary").to_pylist(), rows.column("y").to_pylist()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import SCHEMA, collected, crc, edge_rows, frame
-from graphloom.llm import bpe, classifier, components, exact, quality_rules, queries, simhash, toxicity
+from graphloom.llm import bpe, classifier, common, components, exact, quality_rules, queries, simhash, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -216,3 +216,10 @@ def test_empty_tables(spark):
     assert bpe.encode_documents(none, VOCABULARY).count() == quality_rules.quality_rules(none).count() == 0
     assert toxicity.toxicity_scores(none, labels).count() == classifier.quality_scores(none, labels).count() == 0
     assert {(r.n_failed, r.n_only, r.n_removed_without) for r in quality_rules.ablations(quality_rules.ledger(none)).collect()} <= {(0, 0, 0)}
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"t{k}") for k in range(50)] + [(2, "u"), (3, None), (4, "v")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)] * 9 + [(2, 0, 1), (3, 1, 1), (4, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert common.labelled_sample(docs, labels, "quality", F.lit(True), 10) == ([b"t0", b"u"], [1, 0])
+    assert len(common.labelled_sample(docs, labels, "quality", F.lit(True), 1)[0]) <= 1
