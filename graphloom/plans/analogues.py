@@ -6,7 +6,7 @@ it and be compared with independent SQL.
 - findings, functions: ``part``; the size is the complexity, the brand the file.
 - changes (commit files): ``lineitem``; order, part and supplier are commit, file and author.
 - modules, chunks: ``documents``.
-- edges: ``lineitem`` of large quantity and discount, supplier to part modulo 100.
+- edges: ``lineitem``, supplier to part modulo 100; the SQL takes those of large quantity and discount only.
 - members (of classes): ``lineitem``; order, line number and supplier modulo 5 are class, method and attribute.
 - days (of a trend): ``events``.
 """
@@ -101,8 +101,7 @@ MODULES = """modules AS (
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
-    rows = rows.select(F.lit("").alias("snapshot"), F.col("l_suppkey").cast("string").alias("src"), (F.col("l_partkey") % 100).cast("string").alias("dst"))
+    rows = table(spark, d, "lineitem").select(F.lit("").alias("snapshot"), F.col("l_suppkey").cast("string").alias("src"), (F.col("l_partkey") % 100).cast("string").alias("dst"))
     return rows.where("src <> dst").distinct()
 
 
