@@ -414,9 +414,10 @@ def rule_signals(spark, d):
 )
 def secret_scan(spark, d):
     pattern = r'([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"'
-    rows = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", pattern, 1).alias("name"), F.regexp_extract("text", pattern, 2).alias("value"))
+    found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "value"))))
+    rows = table(spark, d, "documents").select("doc_id", F.inline(found))
     placeholder = F.lower("value").rlike("example|placeholder|changeme|change_me|dummy|fake|sample|xxxx|your_|todo|<|test")
-    return rows.where((F.col("name") != "") & ~placeholder).select("doc_id", "name", F.length("value").cast("long").alias("value_length"))
+    return rows.where(~placeholder).select("doc_id", "name", F.length("value").cast("long").alias("value_length"))
 
 
 _PRIVATE = "'_' || split_part(p_name, ' ', 1) || '_' || (p_partkey % 40)"
