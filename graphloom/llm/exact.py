@@ -52,12 +52,13 @@ def exact_duplicates(
     return found
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, null_ids: bool = False) -> DataFrame:
     """The rows of ``documents`` that stay, with their columns: of equal texts that with the largest doc_id, once; of
-    equal texts with null ids only, none."""
+    equal texts with null ids only, none, or with ``null_ids`` one."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
     classes = texts.withColumn("key", content_hash(F.col("t"))).groupBy("key", "t").agg(F.max("doc_id").alias("doc_id"))
-    return keep_rows(documents, cut(classes.where("doc_id IS NOT NULL").select("doc_id", "key").distinct()))
+    kept = classes if null_ids else classes.where("doc_id IS NOT NULL")
+    return keep_rows(documents, cut(kept.select("doc_id", "key").distinct()))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
