@@ -131,7 +131,7 @@ _HOT = """floor_ AS (SELECT greatest(5, CAST(floor(quantile_cont(commits, 0.75))
 )
 def hotspot_rule(spark, d):
     functions = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_partkey").cast("string").alias("qualname"), F.col("p_size").alias("cyclomatic"))
-    known = table(spark, d, "lineitem").where("l_partkey % 3 = 0 AND l_returnflag = 'A'")
+    known = table(spark, d, "lineitem")
     name = F.col("l_partkey").cast("string")
     churn = known.groupBy(name.alias("path"), name.alias("qualname")).agg(
         F.countDistinct("l_orderkey").alias("commits"), F.countDistinct("l_suppkey").alias("authors"), F.lit(0).alias("lines"), F.lit("").alias("last_modified")
@@ -463,7 +463,8 @@ def import_resolution(spark, d):
 
 @query(f"SELECT split_part(dotted, '.', 1) AS package, count(*) AS n FROM (SELECT {_DOTTED} AS dotted FROM pages WHERE page_id % 2 = 0) GROUP BY 1")
 def external_roots(spark, d):
-    rows = _dotted(spark, d).where("page_id % 2 = 0")
+    unresolved = import_resolution(spark, d).where("target IS NULL").select("page_id")
+    rows = _dotted(spark, d).join(unresolved, "page_id", "left_semi")
     return rows.groupBy(F.split_part("dotted", F.lit("."), F.lit(1)).alias("package")).agg(F.count(F.lit(1)).alias("n"))
 
 
