@@ -34,14 +34,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def free_dead_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner see that finished shuffles are unreachable; it only acts after a JVM collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id falls into fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))

@@ -1,43 +1,51 @@
 """Repeated passages by a depth-limited radix sort of byte suffixes.
 
 A byte goes if a window of ``THRESHOLD`` bytes around it also starts earlier. Suffixes matter through that depth only, so
-they are sorted digit by digit, most significant first, and the sort ends there: what is still equal is repeated.
+they are sorted digit by digit, most significant first, and the sort ends there: what is still equal is repeated. Groups of
+one are dropped after each digit.
 
 The first digit is one that text chooses itself: of the ``GRAM``-byte grams inside a window the one with the least hash
 (the leftmost of equals), its anchor. Equal windows have equal anchors at equal offsets, and neighbouring windows mostly
-share theirs, so about one suffix in thirty is dealt out, with its anchor's hash and the hash of its context, the bytes of
-all windows of the anchor. A context that an earlier suffix has too is repeated as a whole; an anchor with one context has
-nothing else; only the windows of anchors with several contexts go on to the passes over their bytes, 8 a digit, each of
-which drops groups of one. An anchor with more contexts than a task's share (``CROWD`` are the bounds of it) is not
-gathered: its windows are aggregated by their 128-bit hashes.
-
-Suffixes are ordered by (doc_id, hash of the text, position). Contexts are taken for equal when the 64-bit hashes of
-their anchors and of their bytes agree.
+share theirs, so one row in about thirty-five bytes is dealt out by this digit. It only decides what is unique: every
+repeat is decided on bytes. What is left is dealt out with its context, the bytes of all windows of the anchor. A context
+that an earlier suffix has too is repeated as a whole; the windows of the anchor's other contexts go through the passes
+over their bytes, eight a digit.
+
+Hot anchors (the edges of a passage that follows other words in each document) are split: the task that reads the texts
+combines equal contexts, and of an anchor with more than ``SPARSE`` contexts among those that it holds it deals out the
+windows instead, sorted and combined, with a note for the others; a task that meets the note or more than ``PIECE``
+contexts goes on in the same way, a piece at a time. Only these windows are compared by a 128-bit hash.
+
+Suffixes are ordered by (doc_id, hash of the text, position).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, free_dead_shuffles, map_rows, table, text_of
+from graphloom.llm.common import map_rows, table, text_of
 
 THRESHOLD = 100
 GRAM = 32
-#: An anchor is crowded if it has more contexts than a task's mean share of all, within these bounds.
-CROWD = 1024, 16_384
-#: Windows that a task sorts at once, besides the last anchor's.
+#: Anchors, and contexts, that a task combines before it deals them out.
+COMBINED, HELD = 1 << 20, 100_000
+#: Most contexts of one anchor that a task deals out of those it holds.
+SPARSE = 16
+#: Most contexts of one anchor that are sorted at once.
+PIECE = 1024
+#: Windows that are sorted at once, besides the last anchor's.
 SORTED = 400_000
-#: Contexts that a task combines before the shuffle.
-COMBINED = 200_000
 #: Windows whose anchors are found at once.
 _PIECE = 1 << 22
 _LAST = (1 << 63) - 1
+_POSITION = (1 << 32) - 1
 
 
 def _gram_hashes(x: np.ndarray) -> np.ndarray:
@@ -81,16 +89,6 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return position, gram, first, np.append(first[1:], starts) - 1
 
 
-def _runs(text: bytes) -> tuple[np.ndarray, np.ndarray, list[int], list[int], np.ndarray]:
-    """anchors() with the hash of each context."""
-    from xxhash import xxh3_64_intdigest
-
-    position, gram, first, last = anchors(text)
-    begin, end = first.tolist(), (last + THRESHOLD).tolist()
-    context = np.fromiter(map(xxh3_64_intdigest, map(text.__getitem__, map(slice, begin, end))), np.uint64, len(begin))
-    return position, gram, begin, end, context
-
-
 def _tie(text: bytes) -> int:
     """31 bits that order texts of one doc_id."""
     return int.from_bytes(hashlib.md5(text).digest()[:4], "big") >> 1
@@ -100,113 +98,149 @@ def _batch(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
 
 
-_FOUND = "route long, gram long, context long, doc long, place long, sure boolean"
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor. Contexts are combined before they are dealt: of those met before, all but the earliest are
-    repeated for sure. ``place`` is the tie bits and the anchor's position."""
-    earliest: dict[tuple[int, int], tuple[int, int]] = {}
-    out: list[tuple] = []
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor of (doc, text), ``route`` being its gram, ``n`` one or two: of a gram that a task holds several
+    times one row tells the others' tasks; the rest are known to be no group of one and routed anywhere."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(g, g, c, d, p, False) for (g, c), (d, p) in earliest.items()] + out
-        for at in range(0, len(rows), 50_000):
-            part = list(zip(*rows[at : at + 50_000]))
-            numbers = [np.array(x, np.uint64).view(np.int64) for x in part[:3]] + [np.array(x, np.int64) for x in part[3:5]]
-            yield _batch([*numbers, np.array(part[5], bool)], "route gram context doc place sure")
-        earliest.clear()
-        out.clear()
+        gram, doc, place = map(np.concatenate, zip(*held))
+        held.clear()
+        order = np.argsort(gram, kind="stable")
+        turn = np.concatenate([[True], np.diff(gram[order]) != 0])
+        new, several = np.empty(len(gram), bool), np.empty(len(gram), bool)
+        new[order], several[order] = turn, ~turn | ~np.append(turn[1:], True)
+        anywhere = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        route = (np.where(new, gram, anywhere) >> np.uint64(16)).view(np.int64)  # a collision only keeps what could go
+        for at in range(0, len(route), 100_000):
+            here = slice(at, at + 100_000)
+            yield _batch([route[here], doc[here], place[here], several[here].astype(np.int8) + np.int8(1)], "route doc place n")
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            position, gram, _, _, context = _runs(text)
-            tie = _tie(text) << 32
-            for g, c, p in zip(gram.tolist(), context.tolist(), (position + tie).tolist()):
-                here = (doc, p)
-                before = earliest.setdefault((g, c), here)
-                if before < here:
-                    out.append((p & 0xFFFFFFFF ^ doc & 0xFFFFFFFFFFFFFFFF, 0, 0, doc, p, True))
-                elif before > here:
-                    earliest[g, c] = here
-                    out.append((p & 0xFFFFFFFF ^ doc & 0xFFFFFFFFFFFFFFFF, 0, 0, *before, True))
-            if len(earliest) + len(out) >= COMBINED:
+            position, gram, _, _ = anchors(text)
+            held.append((gram, np.full(len(gram), doc, np.int64), position + (_tie(text) << 32)))
+            size += len(gram)
+            if size >= COMBINED:
                 yield from flush()
-    yield from flush()
+                size = 0
+    if size:
+        yield from flush()
 
 
-def _settle(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (gram, context, doc, place): the first of a context is its earliest suffix.
-
-        ``beside`` is the number of contexts of the anchor if its windows go on, ``most`` + 1 at most; 0: the context is
-        repeated.
-        """
-        gram = context = None
-        kept: list[tuple[int, int]] = []
-        first: tuple[int, int] = (0, 0)
-        crowded = False
-        out: list[tuple[int, int, int, int]] = []
-
-        def close() -> None:
-            if len(kept) > 1:
-                out.extend((len(kept), gram, d, p) for d, p in kept)
-            kept.clear()
-
-        def batch_of() -> pa.RecordBatch:
-            part = np.array(out, np.int64).reshape(-1, 4)
-            out.clear()
-            return _batch([part[:, 0].astype(np.int32), part[:, 1], part[:, 2], part[:, 3]], "beside gram doc place")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their one shuffle."""
+    from zstandard import ZstdCompressor
 
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(1, 6)]
-            for g, c, d, p, sure in zip(*columns):
-                if sure:
-                    out.append((0, 0, d, p))
-                elif g != gram or c != context:
-                    if g != gram:
-                        if gram is not None:
-                            close()
-                        crowded = False
-                    gram, context, first = g, c, (d, p)
-                    if crowded:
-                        out.append((most + 1, g, d, p))
-                    else:
-                        kept.append(first)
-                        if len(kept) > most:
-                            out.extend((most + 1, g, *x) for x in kept)
-                            kept.clear()
-                            crowded = True
-                elif (d, p) > first:
-                    out.append((0, 0, d, p))
-            yield batch_of()
-        close()
-        yield batch_of()
+    pack = ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = pa.array(map(pack, batch.column(3).to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["doc_id", "doc", "tie", "packed"])
 
-    return run
 
+def _unpacked(packed: bytes) -> bytes:
+    from zstandard import ZstdDecompressor
+
+    return ZstdDecompressor().decompress(packed)
+
+
+class _Rows:
+    """Rows on their way to the next task: contexts, notes that an anchor is split (no bytes), windows (``lead`` -1) and
+    settled spans (``lead`` is their size, negative, which is -THRESHOLD at most)."""
+
+    schema = "route long, low long, doc long, place long, lead int, bytes binary"
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.loose: list[tuple] = []
+
+    def context(self, gram: int, doc: int, place: int, lead: int, part: bytes) -> None:
+        self.loose.append((gram, 0, doc, place, lead, part))
+
+    def note(self, gram: int) -> None:
+        self.loose.append((gram, 0, 0, 0, 0, b""))
+
+    def settled(self, doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        """Bytes from ``place`` on; ``size`` of them."""
+        self.parts.append((place, doc, doc, place, (-size).astype(np.int32)))
+
+    def windows(self, high: np.ndarray, low: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+        self.parts.append((high, low, doc, place, np.full(len(doc), -1, np.int32)))
+
+    def __len__(self) -> int:
+        return len(self.loose) + sum(len(p[0]) for p in self.parts)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        names = "route low doc place lead bytes"
+        for at in range(0, len(self.loose), 20_000):
+            columns = list(zip(*self.loose[at : at + 20_000]))
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names.split())
+        if self.parts:
+            whole = [np.concatenate(c) for c in zip(*self.parts)]
+            for at in range(0, len(whole[0]), 100_000):
+                part = [c[at : at + 100_000] for c in whole]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.nulls(len(part[0]), pa.binary())], names.split())
+        self.parts, self.loose = [], []
+
+
+def _merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (doc, place, size) with those that touch made one."""
+    doc, place, size = spans[np.lexsort((spans[:, 1], spans[:, 0]))].T
+    # the ends grow with the places, as contexts of later anchors end later
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + size[:-1])])
+    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(doc)) - 1
+    return doc[first], place[first], place[last] + size[last] - place[first]
+
+
+#: A context: gram, doc, place of the anchor, bytes before it, bytes.
+_Context = tuple[int, int, int, int, bytes]
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], sparse: int, piece: int) -> Iterator[pa.RecordBatch]:
+    """Contexts of the asked anchors of (doc_id, doc, tie, packed text, positions less 2**31)."""
+    held: dict[bytes, _Context] = {}
+    rows = _Rows()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        by_gram: dict[int, list[_Context]] = {}
+        for c in held.values():
+            by_gram.setdefault(c[0], []).append(c)
+        held.clear()
+        for gram, some in by_gram.items():
+            if len(some) > sparse:
+                rows.note(gram)
+                for at in range(0, len(some), piece):
+                    _sort(some[at : at + piece], rows, split=True)
+            else:
+                for c in some:
+                    rows.context(*c)
+        yield from rows.batches()
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each asked anchor: the bytes of its context and where in them it stands."""
     for batch in batches:
-        for doc, tie, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            position, _, first, last = anchors(text)
-            want = {a["place"] & 0xFFFFFFFF: a for a in asked}
-            at = np.searchsorted(position, sorted(want)).tolist()
-            rows = [(want[int(position[k])], int(position[k]), int(first[k]), int(last[k]) + THRESHOLD) for k in at]
-            for part in range(0, len(rows), 20_000):
-                some = rows[part : part + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([a["beside"] for a, *_ in some], pa.int32()),
-                        pa.array([a["gram"] for a, *_ in some], pa.int64()),
-                        pa.array([doc] * len(some), pa.int64()),
-                        pa.array([a["place"] for a, *_ in some], pa.int64()),
-                        pa.array([p - b for _, p, b, _ in some], pa.int32()),
-                        pa.array([text[b:e] for _, _, b, e in some], pa.binary()),
-                    ],
-                    ["beside", "gram", "doc", "place", "lead", "bytes"],
-                )
+        for doc, tie, packed, places in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            text = _unpacked(packed)
+            position, gram, first, last = anchors(text)
+            asked = np.unique(np.array(places, np.int64) + (1 << 31))
+            at = np.searchsorted(position, asked)
+            at = at[(at < len(position)) & (position[np.minimum(at, len(position) - 1)] == asked)]  # all, unless ties collide
+            later: list[tuple[int, int, int]] = []
+            numbers = gram[at].view(np.int64), position[at] + (tie << 32), position[at] - first[at], first[at], last[at] + THRESHOLD
+            for g, p, lead, begin, end in zip(*(x.tolist() for x in numbers)):
+                part = text[begin:end]
+                before = held.setdefault(part, here := (g, doc, p, lead, part))
+                if before is not here:
+                    if before[1:3] > (doc, p):
+                        held[part] = here
+                        later.append((before[1], before[2] - lead, len(part)))
+                    elif before[1:3] < (doc, p):
+                        later.append((doc, p - lead, len(part)))
+            if later:
+                rows.settled(*_merged(np.array(later, np.int64)))
+            if len(held) + len(rows) >= HELD:
+                yield from flush()
+    yield from flush()
 
 
 def radix_groups(digits: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -237,8 +271,13 @@ def radix_groups(digits: np.ndarray, starts: np.ndarray, group: np.ndarray, dept
     return alive, group
 
 
-def _later_windows(grams: list[int], docs: list[int], places: list[int], leads: list[int], parts: list[bytes]) -> np.ndarray:
-    """(context, first, past last) of runs of windows, counted inside their context, that start earlier elsewhere."""
+def _sort(contexts: list[_Context], rows: _Rows, split: bool) -> None:
+    """Settle the windows of different contexts that start earlier in another of the same anchor.
+
+    ``split``: the anchors have contexts elsewhere, too, so that the windows that are left go on by their hashes.
+    """
+    grams, docs, places, leads, parts = zip(*contexts)
+    docs, places, leads = (np.array(x, np.int64) for x in (docs, places, leads))
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     counts = sizes - (THRESHOLD - 1)
     of = np.repeat(np.arange(len(parts)), counts)
@@ -246,158 +285,138 @@ def _later_windows(grams: list[int], docs: list[int], places: list[int], leads:
     begin = np.cumsum(sizes) - sizes
     # the first digit: the anchor and its offset in the window
     _, key = np.unique(np.array(grams, np.int64), return_inverse=True)
-    offset = np.array(leads, np.int64)[of] - inside
-    suffix, group = radix_groups(np.frombuffer(b"".join(parts), np.uint8), begin[of] + inside, key[of] * THRESHOLD + offset)
+    offset = leads[of] - inside
+    data = b"".join(parts)
+    suffix, group = radix_groups(np.frombuffer(data, np.uint8), begin[of] + inside, key[of] * THRESHOLD + offset)
     rank = np.empty(len(parts), np.int64)
-    rank[np.lexsort((np.array(places, np.int64), np.array(docs, np.int64)))] = np.arange(len(parts))
+    rank[np.lexsort((places, docs))] = np.arange(len(parts))
     # the earliest of each group stays
     order = np.lexsort((rank[of[suffix]], group))
     suffix, group = suffix[order], group[order]
-    later = np.concatenate([[False], group[1:] == group[:-1]])[: len(suffix)]
-    gone = np.sort(suffix[later])
-    if not len(gone):
-        return np.zeros((0, 3), np.int64)
-    stop = np.flatnonzero((np.diff(gone) != 1) | (np.diff(of[gone]) != 0))
-    first, last = gone[np.concatenate([[0], stop + 1])], gone[np.append(stop, len(gone) - 1)]
-    return np.stack([of[first], inside[first], inside[last] + 1], 1)
-
-
-_SPANS = "doc long, tie long, span long"
-
-
-def _spans_batch(rows: np.ndarray, docs: list[int], places: list[int], leads: list[int]) -> pa.RecordBatch:
-    """Packed (start, length) of the bytes that runs of windows cover."""
-    which = rows[:, 0]
-    doc, place, lead = (np.array(x, np.int64)[which] for x in (docs, places, leads))
-    start = (place & 0xFFFFFFFF) - lead + rows[:, 1]
-    return _batch([doc, place >> 32, start << 24 | rows[:, 2] - rows[:, 1] + THRESHOLD - 1], "doc tie span")
-
-
-def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by gram; whole grams are sorted together, as many as fit."""
-    grams, docs, places, leads, parts = rows = [], [], [], [], []
-    windows = whole = counted = 0  # windows held, contexts and windows of complete grams
-
-    def done(n: int) -> pa.RecordBatch:
-        held = [r[:n] for r in rows]
-        for r in rows:
-            del r[:n]
-        return _spans_batch(_later_windows(*held), held[1], held[2], held[3])
+    gone = np.sort(suffix[1:][group[1:] == group[:-1]])
+    if len(gone):
+        stop = np.flatnonzero((np.diff(gone) != 1) | (np.diff(of[gone]) != 0))
+        first, last = gone[np.concatenate([[0], stop + 1])], gone[np.append(stop, len(gone) - 1)]
+        at = of[first]
+        rows.settled(docs[at], places[at] - leads[at] + inside[first], last - first + THRESHOLD)
+    if split:
+        from xxhash import xxh3_128_digest
+
+        left = np.ones(len(of), bool)
+        left[gone] = False
+        left = np.flatnonzero(left)
+        hashes = b"".join(xxh3_128_digest(data[k : k + THRESHOLD]) for k in (begin[of[left]] + inside[left]).tolist())
+        high, low = np.frombuffer(hashes, np.int64).reshape(-1, 2).T
+        at = of[left]
+        rows.windows(high, low, docs[at], places[at] - leads[at] + inside[left])
+
+
+def _decided(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (route, bytes, doc, place), so that of equal contexts the earliest comes first, and notes before all;
+    whole anchors are sorted together, as many as fit."""
+    rows = _Rows()
+    full: list[_Context] = []  # of anchors that are complete
+    held: list[_Context] = []  # of the present one
+    windows = 0
+    gram, split = None, False
+
+    def close() -> None:
+        nonlocal windows
+        if split and held:
+            _sort(held, rows, split=True)
+        elif len(held) > 1:
+            full.extend(held)
+            windows += sum(len(c[4]) - THRESHOLD + 1 for c in held)
+        held.clear()
+        if windows >= SORTED:
+            _sort(full, rows, split=False)
+            full.clear()
+            windows = 0
 
     for batch in batches:
-        for g, d, p, lead, part in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if grams and (g, d, p) == (grams[-1], docs[-1], places[-1]):
-                continue  # of a row that is repeated as a whole
-            if grams and g != grams[-1]:
-                whole, counted = len(grams), windows
-                if windows >= SORTED:
-                    yield done(whole)
-                    windows -= counted
-            grams.append(g)
-            docs.append(d)
-            places.append(p)
-            leads.append(lead)
-            parts.append(part)
-            windows += len(part) - THRESHOLD + 1
-    if grams:
-        yield done(len(grams))
-
-
-def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a crowded anchor: its 128-bit hash, and its start after the tie bits."""
-    from xxhash import xxh3_128_intdigest
-
-    for batch in batches:
-        docs, places, leads, parts = (batch.column(k).to_pylist() for k in range(1, 5))
-        for at in range(0, len(parts), 2000):
-            hashes, doc, place = [], [], []
-            for d, p, lead, part in zip(docs[at : at + 2000], places[at : at + 2000], leads[at : at + 2000], parts[at : at + 2000]):
-                n = len(part) - THRESHOLD + 1
-                hashes += [xxh3_128_intdigest(part[k : k + THRESHOLD]) for k in range(n)]
-                doc += [d] * n
-                place += range(p - lead, p - lead + n)
-            mask = (1 << 64) - 1
-            high = np.array([h >> 64 for h in hashes], np.uint64).view(np.int64)
-            low = np.array([h & mask for h in hashes], np.uint64).view(np.int64)
-            yield _batch([high, low, np.array(doc, np.int64), np.array(place, np.int64)], "high low doc place")
-
-
-def _cut_out(with_text: bool):
+        loose = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+        if loose.any():
+            rows.parts.append(tuple(c.to_numpy()[loose] for c in batch.columns[:5]))
+            batch = batch.filter(pa.array(~loose))
+        later: list[tuple[int, int, int]] = []
+        for g, d, p, lead, part in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+            if g != gram:
+                close()
+                gram, split = g, False
+            if not part:
+                split = True
+            elif held and held[-1][4] == part:
+                if (d, p) > held[-1][1:3]:
+                    later.append((d, p - lead, len(part)))
+            else:
+                if len(held) >= piece:
+                    split = True
+                    _sort(held, rows, split=True)
+                    held.clear()
+                held.append((g, d, p, lead, part))
+        if later:
+            rows.settled(*np.array(later, np.int64).T)
+        yield from rows.batches()
+    close()
+    if full:
+        _sort(full, rows, split=False)
+    yield from rows.batches()
+
+
+def _cut_out(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n_bytes, removed, count, sha, kept_texts = [], [], [], [], [], []
-            for doc_id, text, places, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            out: list[tuple] = []
+            for doc_id, packed, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                text = _unpacked(packed)
                 edges = np.zeros(len(text) + 1, np.int32)
-                if places:
-                    position, _, first, last = anchors(text)
-                    at = np.searchsorted(position, np.array(places, np.int64))
-                    np.add.at(edges, first[at], 1)
-                    np.add.at(edges, last[at] + THRESHOLD, -1)
                 if spans:
-                    packed = np.array(spans, np.int64)
-                    start = packed >> 24
+                    start = np.array(spans, np.int64) >> 24
                     np.add.at(edges, start, 1)
-                    np.add.at(edges, start + (packed & 0xFFFFFF), -1)
+                    np.add.at(edges, start + (np.array(spans, np.int64) & 0xFFFFFF), -1)
                 gone = np.cumsum(edges[:-1]) > 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if places or spans else text
-                ids.append(doc_id)
-                n_bytes.append(len(text))
-                removed.append(int(gone.sum()))
-                count.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) and gone[0])))
-                sha.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept)
-            out = [pa.array(x, pa.int64()) for x in (ids, n_bytes, removed, count)] + [pa.array(sha, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                out, names = [*out, pa.array(kept_texts, pa.binary())], [*names, "kept_bytes"]
-            yield pa.RecordBatch.from_arrays(out, names)
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
+                count = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) and gone[0]))
+                out.append((doc_id, len(text), int(gone.sum()), count, hashlib.sha256(kept).hexdigest(), kept)[: 5 + with_text])
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"][: 5 + with_text]
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
 
 
-def remove_repeats(documents: DataFrame, with_text: bool = False, crowd: tuple[int, int] = CROWD) -> DataFrame:
+def remove_repeats(documents: DataFrame, with_text: bool = False, sparse: int = SPARSE, piece: int = PIECE) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds kept_bytes.
 
     A null text is empty; texts shorter than a window lose nothing. Null ids come last in the order of documents; texts
     that share an id are ordered by their hash; rows repeated with id and text are one document and judged alike. Other
-    columns are ignored. What is kept is bytes: a cut may fall inside a character.
+    columns are ignored. What is kept is bytes: a cut may fall inside a character. ``sparse`` and ``piece`` bound what one
+    task does for one anchor; they change no result.
     """
-    spark = documents.sparkSession
     raw = text_of().cast("binary")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), raw.alias("text"))
+    found = map_rows(texts.where(F.length("text") >= THRESHOLD).select("doc", "text"), _anchor_rows, "route long, doc long, place long, n byte")
+    several = found.withColumn("n", F.sum("n").over(Window.partitionBy("route"))).where("n > 1")
+    tie_of = F.shiftright("place", 32).alias("tie")
+    asked = several.groupBy("doc", tie_of).agg(F.collect_list((F.col("place").bitwiseAND(F.lit(_POSITION)) - (1 << 31)).cast("int")).alias("places"))
+
+    # the texts' one shuffle serves both joins
     tie = F.shiftrightunsigned(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long"), 1)
-    texts = texts.withColumn("tie", tie)
-
-    found = map_rows(texts.where(F.length("text") >= THRESHOLD).select("doc", "text"), _suffixes, _FOUND)
-    dealt = found.repartition("route").sortWithinPartitions("gram", "context", "doc", "place")
-    known = cut(map_rows(dealt, _settle(crowd[1]), "beside int, gram long, doc long, place long"))
-    free_dead_shuffles(spark)
-    going = known.where("beside > 0")
-    share = min(max(going.count() // int(spark.conf.get("spark.sql.shuffle.partitions")), crowd[0]), crowd[1])
-
-    which = [F.col("doc"), F.shiftright("place", 32).alias("tie")]
-    asked = going.groupBy(*which).agg(F.collect_list(F.struct("beside", "gram", "place")).alias("asked"))
-    # rows repeated with id and text ask once
-    once = texts.where(F.length("text") >= THRESHOLD).join(asked, ["doc", "tie"])
-    contexts = map_rows(
-        once.select("doc", "tie", "text", "asked"), _contexts, "beside int, gram long, doc long, place long, lead int, bytes binary"
-    )
-    contexts = cut(contexts)
-    free_dead_shuffles(spark)
-
-    plain = contexts.where(F.col("beside") <= share).select("gram", "doc", "place", "lead", "bytes")
-    spans = map_rows(plain.repartition("gram").sortWithinPartitions("gram", "doc", "place"), _sorted_windows, _SPANS)
-    windows = map_rows(contexts.where(F.col("beside") > share).select("gram", "doc", "place", "lead", "bytes"), _hashed_windows, "high long, low long, doc long, place long")
-    earliest = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(earliest.drop("n"), ["high", "low"]).where(F.struct("doc", "place") > F.col("first"))
-    single = F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 24) + THRESHOLD
-    spans = spans.unionByName(later.select(*which, single.alias("span")))
-
-    gone = known.where("beside = 0").select(*which, F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), F.lit(None).cast("long").alias("span"))
-    every = gone.unionByName(spans.select("doc", "tie", F.lit(None).cast("long").alias("place"), "span"))
-    marks = every.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"), F.collect_list("span").alias("spans"))
-    whole = texts.join(marks, ["doc", "tie"], "left").select("doc_id", "text", "places", "spans")
+    packed = map_rows(texts.select("doc_id", "doc", tie.alias("tie"), "text"), _packed, "doc_id long, doc long, tie long, packed binary")
+    packed = packed.where("doc IS NOT NULL AND tie IS NOT NULL")  # as an inner join asks, so that both joins share a plan
+    once = packed.join(asked, ["doc", "tie"]).select("doc_id", "doc", "tie", "packed", "places")
+    contexts = map_rows(once, partial(_contexts, sparse=sparse, piece=piece), _Rows.schema)
+    dealt = contexts.repartition("route").sortWithinPartitions("route", "bytes", "doc", "place")
+    decided = map_rows(dealt, partial(_decided, piece=piece), _Rows.schema)
+
+    settled = F.col("lead") < -1
+    turn = F.row_number().over(Window.partitionBy("route", "low").orderBy("doc", "place"))
+    spans = decided.withColumn("turn", turn).where(settled | (F.col("turn") > 1))
+    span = F.shiftleft(F.col("place").bitwiseAND(F.lit(_POSITION)), 24) + F.when(settled, -F.col("lead")).otherwise(THRESHOLD)
+    marks = spans.select("doc", tie_of, span.alias("span")).groupBy("doc", "tie").agg(F.collect_list("span").alias("spans"))
+    whole = packed.join(marks, ["doc", "tie"], "left").select("doc_id", "packed", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
     return map_rows(whole, _cut_out(with_text), schema)
 

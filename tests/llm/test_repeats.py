@@ -26,10 +26,11 @@ def expected(rows, size=repeats.THRESHOLD):
     return sorted((found[i, t.encode()] for i, t in rows), key=repr)
 
 
-@pytest.mark.parametrize("crowd", [repeats.CROWD, (2, 5)])
-def test_edge_rows(spark, crowd):
+@pytest.mark.parametrize("sparse, piece", [(repeats.SPARSE, repeats.PIECE), (1, 3), (10**6, 2), (2, 10**6)])
+def test_edge_rows(spark, sparse, piece):
+    """Also where anchors are split, by the tasks that read or by those that sort."""
     pairs = [(r[0], r[1] or "") for r in edge_rows()]
-    assert collected(repeats.remove_repeats(frame(spark), crowd=crowd)) == expected(pairs)
+    assert collected(repeats.remove_repeats(frame(spark), sparse=sparse, piece=piece)) == expected(pairs)
 
 
 def test_documents(spark, sf_dir):
@@ -52,3 +53,12 @@ def test_anchors_cover_each_window_once(monkeypatch):
     assert (first <= position).all() and (position + repeats.GRAM <= last + repeats.THRESHOLD).all()
     monkeypatch.setattr(repeats, "_PIECE", 700)
     assert all((a == b).all() for a, b in zip(whole, repeats.anchors(text)))
+
+
+def test_bytes_decide_where_grams_collide():
+    """Contexts that share a number of their anchor, but not its bytes."""
+    one, two = bytes(range(32)) * 4, bytes(range(100, 132)) * 4
+    rows = repeats._Rows()
+    repeats._sort([(7, 1, 40, 10, one), (7, 2, 40, 10, two), (7, 3, 40, 10, one[:-1] + b"!"), (7, 4, 41, 11, b"x" + one)], rows, split=False)
+    # the third has all but the last window of the first, the fourth has all of its windows
+    assert [tuple(int(c[k]) for c in p[2:]) for p in rows.parts for k in range(len(p[0]))] == [(3, 30, -127), (4, 31, -128)]
