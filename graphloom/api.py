@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.backends import HostedEmbedder, HostedModel, LocalEmbedder
 from graphloom.config import Settings, Thresholds, load_settings
 from graphloom.engine import Analysis, Options, Progress, analyze, analyze_sources, changed_since, gate_failures, trend
 from graphloom.errors import AnalysisError, ConfigurationError, IndexUnavailable, MissingBackend, RepositoryNotFound
@@ -18,9 +19,9 @@ from graphloom.sources import files
 from graphloom.sources.baselines import Baseline
 
 __all__ = [
-    "RULES", "Analysis", "AnalysisError", "Baseline", "ConfigurationError", "Context", "HashEmbedder", "IndexStats",
-    "IndexUnavailable", "MissingBackend", "Options", "Progress", "RepositoryNotFound", "Rule", "Settings", "Thresholds",
-    "analyze", "analyze_sources", "build_index", "changed_since", "code_chunks", "create_embedder", "explain", "gate_failures",
+    "RULES", "Analysis", "AnalysisError", "Baseline", "ConfigurationError", "Context", "HashEmbedder", "HostedEmbedder", "HostedModel", "IndexStats",
+    "IndexUnavailable", "LocalEmbedder", "MissingBackend", "Options", "Progress", "RepositoryNotFound", "Rule", "Settings", "Thresholds",
+    "analyze", "analyze_sources", "build_index", "changed_since", "code_chunks", "create_embedder", "create_model", "explain", "gate_failures",
     "load_settings", "review", "search_code", "semantic_search", "trend",
 ]
 
@@ -46,11 +47,14 @@ def search_code(spark: SparkSession, root: str | Path, query: str, limit: int =
 
 
 def create_embedder(settings: Settings):
-    """The backend of the settings. Those that need a model or a network are plugged in by passing an embedder instead."""
-    provider = settings.semantic.provider
-    if provider != "hash":
-        raise MissingBackend(f"the embedding provider {provider!r} is not installed; pass an embedder, or use 'hash'")
-    return HashEmbedder(name=settings.semantic.model)
+    """The backend of the settings. One that needs a package says so when it is first asked."""
+    kinds = {"hash": lambda model: HashEmbedder(name=model), "fastembed": LocalEmbedder, "api": HostedEmbedder}
+    return kinds[settings.semantic.provider](settings.semantic.model)
+
+
+def create_model(settings: Settings):
+    """The text model of the settings; None if they name none."""
+    return None if settings.llm.model == "none" else HostedModel(settings.llm.model, settings.llm.timeout)
 
 
 def _folder(root: Path, settings: Settings) -> str:

@@ -181,7 +181,7 @@ def trend(spark: SparkSession, root: str | Path, settings: Settings | None = Non
     if listen:
         listen(Progress("sampling"))
     every = git.commits(root, window)
-    chosen = spaced(every, samples)
+    chosen = [every[k] for k in over_time.positions(len(every), samples)]
     sources = git.snapshot_files(spark, root, [c.sha for c in chosen], settings.exclude)
     modules = parse.parse_sources(sources, root.name).persist(StorageLevel.MEMORY_AND_DISK)
     edges, _ = resolve.import_graph(modules)
@@ -194,17 +194,8 @@ def trend(spark: SparkSession, root: str | Path, settings: Settings | None = Non
         r = scored.get(c.sha)  # a commit without Python files has no finding and no line
         measures = {k: r[k] for k in ("score", "grade", "findings", "critical", "high", "loc", "files")} if r else {"score": 100, "grade": "A", "findings": 0, "critical": 0, "high": 0, "loc": 0, "files": 0}
         rows.append({"sha": c.sha, "short_sha": c.sha[:7], "date": c.committed_at, "subject": c.subject, **measures})
-    delta = rows[-1]["score"] - rows[0]["score"] if len(rows) > 1 else 0
-    return {"window": window, "delta": delta, "samples": rows}
-
-
-def spaced(items: list, n: int) -> list:
-    """``n`` evenly spaced items, the first and last included; all if there are no more."""
-    if len(items) <= n:
-        return items
-    if n < 2:
-        return items[:n]
-    return [items[k] for k in sorted({round(i * (len(items) - 1) / (n - 1)) for i in range(n)})]
+    scores = spark.createDataFrame([(k, r["score"]) for k, r in enumerate(rows)], "at int, score int")
+    return {"window": window, "delta": over_time.summary(scores, "at").first().delta, "samples": rows}
 
 
 def gate_failures(result: Analysis, fail_under: int | None = None, fail_on_new: bool = False) -> list[str]:

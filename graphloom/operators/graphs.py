@@ -23,6 +23,12 @@ def degrees(vertices: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("snaps
     return ends.groupBy(*key).agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
+def sizes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: modules and imports."""
+    n = vertices.agg(F.count(F.lit(1)).alias("modules"))
+    return n.join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("imports"))))  # a row each
+
+
 def instability(fan_in: Column, fan_out: Column) -> Column:
     """Share of a module's couplings that point outwards; zero without any."""
     total = fan_in + fan_out
@@ -147,26 +153,6 @@ def cycles(components: DataFrame) -> DataFrame:
     return rows.withColumn("size", F.size("members")).orderBy("snapshot", F.desc("size"), "members")
 
 
-def merged_sets(sets: Column) -> Column:
-    """Sets that overlap, over any number of steps, merged into one: an array of disjoint arrays."""
-
-    def absorb(done: Column, one: Column) -> Column:
-        touching = F.filter(done, lambda s: F.arrays_overlap(s, one))
-        apart = F.filter(done, lambda s: ~F.arrays_overlap(s, one))
-        return F.concat(apart, F.array(F.array_distinct(F.concat(F.flatten(touching), one))))
-
-    return F.aggregate(sets, F.slice(sets, 1, 0), absorb)
-
-
-def cohesion(members: DataFrame, by: list[str], member: str, attribute: str) -> DataFrame:
-    """by, groups: how many groups the members (methods) of a class form that share no attribute. A member without an
-    attribute (null) is a group of its own. What is gathered is one class's sets."""
-    users = members.groupBy(*by, attribute).agg(F.collect_set(member).alias("users"))
-    alone = members.where(F.col(attribute).isNull()).select(*by, F.array(member).alias("users"))
-    sets = users.where(F.col(attribute).isNotNull()).select(*by, "users").unionByName(alone)
-    return sets.groupBy(*by).agg(F.collect_list("users").alias("sets")).select(*by, F.size(merged_sets(F.col("sets"))).alias("groups"))
-
-
 def dot(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a Graphviz document between its first and last one: part (0 node, 1 edge), line."""
     node = vertices.select(F.lit(0).alias("part"), F.format_string('    "%s";', "name").alias("line"))

@@ -61,11 +61,3 @@ def most_complex(functions: DataFrame, per_file: int = 8, by: str = "path", orde
     """The most complex functions of each file, in source order among equals."""
     window = Window.partitionBy(by).orderBy(F.desc("cyclomatic"), *order)
     return functions.withColumn("place", F.row_number().over(window)).where(F.col("place") <= per_file)
-
-
-def sampled(items: DataFrame, order: str, n: int, samples: int) -> DataFrame:
-    """Of ``n`` items with positions 0 to n - 1 in ``order``: evenly spaced ones, first and last included."""
-    if n <= samples or samples < 2:
-        return items if n <= samples else items.where(F.col(order) == 0)
-    wanted = items.sparkSession.range(samples).select(F.bround(F.col("id") * (n - 1) / (samples - 1)).cast("long").alias(order)).distinct()
-    return items.join(F.broadcast(wanted), order, "left_semi")

@@ -94,13 +94,14 @@ def build(chunks: DataFrame, folder: str, embedder, rebuild: bool = False) -> In
         counts = stats(plan(chunks, old)).first()
     table = f"chunks-{uuid.uuid4().hex}"
     everything.write.parquet(f"{folder}/{table}")
-    total = spark.read.parquet(f"{folder}/{table}").count()
+    stored = spark.read.parquet(f"{folder}/{table}")
+    total, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     _point(spark, folder, {"version": VERSION, "model": embedder.model_name, "table": table})
     reused = counts.reused if counts else 0
     removed = max(0, old.count() - reused) if old is not None else 0
-    return IndexStats(total, total - reused, reused, removed, embedder.dimensions, embedder.model_name)
+    return IndexStats(total, total - reused, reused, removed, getattr(embedder, "dimensions", size), embedder.model_name)
 
 
 def find(spark: SparkSession, folder: str, query: str, embedder, limit: int, min_score: float) -> DataFrame:
-    vector = embedder.embed(search.query_tokens(spark, query)).tolist()
+    vector = search.query_vector(spark, embedder, query)
     return search.cosine_hits(load(spark, folder, embedder.model_name), "embedding", vector, limit, min_score, ("path", "lineno"), unit=True)

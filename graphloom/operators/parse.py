@@ -39,17 +39,20 @@ BATCH = 64
 
 
 def parse_sources(files: DataFrame, root_name: str = "root") -> DataFrame:
-    """``files`` (rel_path, content; optionally snapshot) to one module row each, null contents being empty files.
+    """``files`` (rel_path, content; optionally snapshot and read_error) to one module row each, null contents being empty
+    files. A read error is the row's syntax error.
 
     ``root_name`` names a package at the root itself.
     """
     snapshot = F.col("snapshot") if "snapshot" in files.columns else F.lit("")
+    failed = F.col("read_error") if "read_error" in files.columns else F.lit(None)
     rows = files.select(
         snapshot.cast("string").alias("snapshot"),
         F.col("rel_path"),
         paths.module_name(F.col("rel_path"), F.lit(root_name)).alias("module_name"),
         paths.is_package(F.col("rel_path")).alias("is_package"),
         F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"),
+        failed.cast("string").alias("read_error"),
     )
     schema = to_arrow_schema(StructType.fromDDL(MODULES))
 
@@ -57,7 +60,7 @@ def parse_sources(files: DataFrame, root_name: str = "root") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH).to_pylist()
-                found = [{**r, **module_row(r.pop("content"), r["module_name"])} for r in part]
+                found = [{**r, **module_row(r.pop("content"), r["module_name"], r.pop("read_error"))} for r in part]
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return rows.mapInArrow(run, MODULES)

@@ -22,29 +22,34 @@ from graphloom.operators.findings import SCHEMA
 
 @dataclass
 class Context:
-    """Relations that rules read. ``history`` and ``churn`` may be None."""
+    """Relations that rules read. ``history`` and ``churn`` may be None; ``given`` has those that are not to be made of the
+    modules, by name."""
 
     modules: DataFrame
     thresholds: Thresholds = field(default_factory=Thresholds)
     edges: DataFrame | None = None
     history: DataFrame | None = None
     churn: DataFrame | None = None
+    given: dict[str, DataFrame] = field(default_factory=dict)
+
+    def _relation(self, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return self.given[of.__name__] if of.__name__ in self.given else of(self.modules)
 
     @cached_property
     def functions(self) -> DataFrame:
-        return parse.functions(self.modules)
+        return self._relation(parse.functions)
 
     @cached_property
     def classes(self) -> DataFrame:
-        return parse.classes(self.modules)
+        return self._relation(parse.classes)
 
     @cached_property
     def imports(self) -> DataFrame:
-        return parse.imports(self.modules)
+        return self._relation(parse.imports)
 
     @cached_property
     def signals(self) -> DataFrame:
-        return parse.signals(self.modules)
+        return self._relation(parse.signals)
 
 
 @dataclass(frozen=True)

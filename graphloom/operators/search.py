@@ -23,7 +23,11 @@ def query_tokens(spark, query: str) -> list[str]:
 
 def corpus_statistics(tokenised: DataFrame) -> DataFrame:
     """One row of ``tokenised`` (tokens): n documents and mean tokens per document, those without tokens included."""
-    return tokenised.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean"))
+    return tokenised.agg(*_totals(F.size("tokens")))
+
+
+def _totals(length: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(length), F.lit(0.0)).alias("mean")]
 
 
 def document_frequency(tokenised: DataFrame) -> DataFrame:
@@ -59,7 +63,8 @@ def bm25(chunks: DataFrame, query: list[str], body: str = "text", symbol: str |
     row = F.element_at(F.transform(F.array(text.tokens(F.col(body))), counted), 1)
     rows = chunks.withColumn("_row", row).withColumn("_tf", F.col("_row.tf")).withColumn("_len", F.col("_row.len")).drop("_row")
     frequencies = [F.count_if(F.get("_tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(wanted))]
-    corpus = rows.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.avg("_len"), F.lit(0.0)).alias("_mean"), *frequencies)  # one row
+    n, mean = _totals(F.col("_len"))
+    corpus = rows.agg(n.alias("_n"), mean.alias("_mean"), *frequencies)  # one row
     norm = F.when(F.col("_mean") > 0, K1 * (1 - B + B * F.col("_len") / F.col("_mean"))).otherwise(F.lit(K1))
     raw = F.lit(0.0)
     for k, token in enumerate(wanted):
@@ -130,11 +135,23 @@ class HashEmbedder:
 
 
 def embedded(rows: DataFrame, embedder, body: str = "text", out: str = "embedding") -> DataFrame:
-    """Adds unit vectors: texts are tokenised by Spark, batches of token lists go through the embedder once a worker."""
+    """Adds unit vectors. An embedder takes batches of texts (``embed_texts``), or the tokens of one text, which Spark finds."""
+    whole = hasattr(embedder, "embed_texts")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: embedder.embed(list(t)).astype(np.float32).tolist())
+            found = embedder.embed_texts(batch.tolist()) if whole else [embedder.embed(list(t)) for t in batch]
+            yield pd.Series([_unit(v).astype(np.float32).tolist() for v in found], dtype=object)
 
     vectors: Callable = F.pandas_udf(run, "array<float>")
-    return rows.withColumn(out, vectors(text.tokens(F.col(body))))
+    return rows.withColumn(out, vectors(F.coalesce(body, F.lit("")) if whole else text.tokens(F.col(body))))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = float(np.sqrt(np.square(v).sum()))
+    return v / size if size else v
+
+
+def query_vector(spark, embedder, query: str) -> list[float]:
+    found = embedder.embed_texts([query])[0] if hasattr(embedder, "embed_texts") else embedder.embed(query_tokens(spark, query))
+    return _unit(np.asarray(found, float)).tolist()

@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import severity
-from graphloom.operators import history, scoring
+from graphloom.operators import scoring
+
+
+def positions(n: int, samples: int) -> list[int]:
+    """Places of evenly spaced ones among ``n`` items, the first and last included; all if there are no more."""
+    if n <= samples or samples < 2:
+        return list(range(min(n, max(samples, 0)) if n > samples else n))
+    return sorted({round(i * (n - 1) / (samples - 1)) for i in range(samples)})
 
 
 def samples_of(rows: DataFrame, when: str, samples: int) -> DataFrame:
     """Evenly spaced rows by ``when``, counted from the newest. One row a snapshot is small: a window orders them."""
     placed = rows.withColumn("at", F.row_number().over(Window.orderBy(F.desc(when))) - 1)
-    return history.sampled(placed, "at", rows.count(), samples).drop("at")
+    return placed.where(F.col("at").isin(positions(rows.count(), samples))).drop("at")
+
+
+def changes(samples: DataFrame, when: str) -> DataFrame:
+    """Adds ``change``, the difference to the sample before. Samples are few: a window orders them."""
+    return samples.withColumn("change", F.col("score") - F.lag("score").over(Window.orderBy(when)))
 
 
 def snapshot_scores(modules: DataFrame, findings: DataFrame) -> DataFrame:

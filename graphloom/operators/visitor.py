@@ -395,9 +395,12 @@ def decode(content: bytes) -> str:
     return re.sub("\r\n?", "\n", content.decode(encoding))
 
 
-def module_row(content: bytes, module: str) -> dict:
-    """All that is known of one file. A file that cannot be parsed has ``syntax_error`` and nothing else."""
-    row = {"total_lines": 0, "loc": 0, "functions": [], "classes": [], "imports": [], "signals": [], "exports": [], "references": [], "has_docstring": False, "syntax_error": None, "lines": []}
+def module_row(content: bytes, module: str, failed: str | None = None) -> dict:
+    """All that is known of one file. A file that cannot be parsed, or be read (``failed``), has ``syntax_error`` and nothing
+    else."""
+    row = {"total_lines": 0, "loc": 0, "functions": [], "classes": [], "imports": [], "signals": [], "exports": [], "references": [], "has_docstring": False, "syntax_error": failed, "lines": []}
+    if failed is not None:
+        return row
     try:
         source = decode(content)
     except (SyntaxError, UnicodeDecodeError, LookupError) as error:

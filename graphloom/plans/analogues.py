@@ -6,7 +6,7 @@ it and be compared with independent SQL.
 - findings, functions: ``part``; the size is the complexity, the brand the file.
 - changes (commit files): ``lineitem``; order, part and supplier are commit, file and author.
 - modules, chunks: ``documents``.
-- edges: ``lineitem``, supplier to part modulo 100; the SQL takes those of large quantity and discount only.
+- edges: ``lineitem``, supplier to part modulo 100.
 - members (of classes): ``lineitem``; order, line number and supplier modulo 5 are class, method and attribute.
 - days (of a trend): ``events``.
 """
@@ -106,8 +106,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 EDGES = """edges AS (
-  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS src, CAST(l_partkey % 100 AS VARCHAR) AS dst FROM lineitem
-  WHERE l_quantity >= 50 AND l_discount >= 0.09 AND l_suppkey <> l_partkey % 100)"""
+  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS src, CAST(l_partkey % 100 AS VARCHAR) AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 100)"""
 
 
 def vertices(spark: SparkSession, d: str) -> DataFrame:

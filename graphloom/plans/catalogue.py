@@ -1,14 +1,15 @@
-"""All registered queries with their SQL counterparts.
+"""The registered queries with their SQL counterparts; those on generated sources are in ``generated``.
 
-Every query runs an operator of the engine over whole tables (see ``analogues`` for what stands for what); the SQL beside
-it says the same independently. A query without SQL is an iterative or streaming one and is tested by its own tests.
+Queries run operators of the engine over whole tables (see ``analogues`` for what stands for what); the SQL beside them says
+the same independently. ``changed_scope_semi`` and ``review_items`` show the plan of a step that the engine takes on the
+driver, on few rows. A query without SQL is an iterative one and is tested by its own tests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import embedded, streaming
@@ -16,22 +17,14 @@ from graphloom.config import Thresholds
 from graphloom.functions import paths, severity, text
 from graphloom.operators import chunks, findings, graphs, history, index, packs, parse, resolve, rules, scoring, search, trend
 from graphloom.plans import analogues as A
+from graphloom.plans import generated
+from graphloom.plans.registry import ORACLES, QUERIES, query
 from graphloom.session import cut
 from graphloom.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-T = Thresholds()
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
+__all__ = ["ORACLES", "QUERIES"]
 
-    return register
+T = Thresholds()
 
 
 def _with(*parts: str) -> str:
@@ -97,9 +90,8 @@ def file_history(spark, d):
 @query(_with(A.HISTORY) + "SELECT share, CASE share WHEN 0.0 THEN quantile_cont(commits, 0.0) WHEN 0.5 THEN quantile_cont(commits, 0.5) WHEN 0.75 THEN quantile_cont(commits, 0.75) ELSE quantile_cont(commits, 1.0) END AS value FROM history, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) s(share) GROUP BY share")
 def churn_percentile(spark, d):
     rows = history.file_history(A.changes(spark, d))
-    shares = (0.0, 0.5, 0.75, 1.0)
-    each = rows.agg(*(F.percentile("commits", s).alias(f"p{k}") for k, s in enumerate(shares)))
-    return each.select(F.inline(F.array(*(F.struct(F.lit(s).alias("share"), F.col(f"p{k}").alias("value")) for k, s in enumerate(shares)))))
+    each = [history.churn_percentile(rows, share).select(F.lit(share).alias("share"), "value") for share in (0.0, 0.5, 0.75, 1.0)]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query(_with(A.HISTORY) + "SELECT path, commits, churn, authors FROM history ORDER BY commits DESC, churn DESC, path LIMIT 10")
@@ -118,7 +110,7 @@ def hotspots(spark, d):
 
 
 _HOT = """floor_ AS (SELECT greatest(5, CAST(floor(quantile_cont(commits, 0.75)) AS INTEGER)) AS f FROM history),
- churn AS (SELECT CAST(l_partkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS qualname, count(DISTINCT l_orderkey) AS commits, count(DISTINCT l_suppkey) AS authors FROM lineitem WHERE l_partkey % 3 = 0 AND l_returnflag = 'A' GROUP BY 1, 2)"""
+ churn AS (SELECT CAST(l_partkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS qualname, count(DISTINCT l_orderkey) AS commits, count(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY 1, 2)"""
 
 
 @query(
@@ -222,9 +214,8 @@ def suppress_split(spark, d):
 
 @query("SELECT CAST(x AS VARCHAR) AS rule_id FROM (VALUES ('security/weak-hash'), ('no/such-rule'), ('another/one')) v(x) EXCEPT SELECT r FROM (VALUES " + ", ".join(f"('{r.id}')" for r in rules.RULES) + ") k(r)")
 def unknown_rules(spark, d):
-    known = spark.createDataFrame([(r.id,) for r in rules.RULES], "rule_id string")
-    asked = spark.createDataFrame([("security/weak-hash",), ("no/such-rule",), ("another/one",)], "rule_id string")
-    return asked.subtract(known)
+    names = findings.unknown_rules(["security/weak-hash", "no/such-rule@src/*", "another/one"], [r.id for r in rules.RULES])
+    return spark.createDataFrame([(n,) for n in names], "rule_id string")
 
 
 @query(_with(A.FINDINGS) + "SELECT src_ordinal, sha1(rule_id || chr(0) || path || chr(0) || coalesce(symbol, '')) AS fingerprint FROM findings")
@@ -299,25 +290,24 @@ def finding_lookup(spark, d):
     return packs.lookup(A.findings(spark, d), "design/god-object@src/brand/2.py").select("rule_id", "path", "line", "symbol")
 
 
-@query(_with(A.FINDINGS, A.MODULES) + "SELECT rule_id, path, severity FROM findings WHERE severity >= 4 UNION ALL SELECT 'maintainability/large-file', rel_path, CASE WHEN loc >= 1500 THEN 4 WHEN loc >= 800 THEN 3 ELSE 2 END FROM modules WHERE loc >= 400")
-def rule_union(spark, d):
-    m = A.modules(spark, d).where(F.col("loc") >= T.file_loc_warn)
-    large = m.select(F.lit("maintainability/large-file").alias("rule_id"), F.col("rel_path").alias("path"), severity.scaled(F.col("loc"), T.file_loc_warn, T.file_loc_high, T.file_loc_critical).cast("int").alias("severity"))
-    return A.findings(spark, d).where("severity >= 4").select("rule_id", "path", "severity").unionByName(large)
+def _modules(spark, d) -> DataFrame:
+    return A.modules(spark, d).select(F.lit("").alias("snapshot"), "rel_path", "loc", F.lit(None).cast("string").alias("syntax_error"))
 
 
-# --- rules
+@query(_with(A.FUNCTIONS, A.MODULES) + "SELECT 'complexity/deep-nesting' AS rule_id, path, CASE WHEN nesting >= 6 THEN 3 ELSE 2 END AS severity FROM functions WHERE nesting >= 4 UNION ALL SELECT 'maintainability/large-file', rel_path, CASE WHEN loc >= 1500 THEN 4 WHEN loc >= 800 THEN 3 ELSE 2 END FROM modules WHERE loc >= 400")
+def rule_union(spark, d):
+    """Findings of rules on different relations."""
+    some = tuple(r for r in rules.RULES if r.id in ("complexity/deep-nesting", "maintainability/large-file"))
+    context = rules.Context(_modules(spark, d), given={"functions": A.functions(spark, d).withColumnRenamed("path", "rel_path")})
+    return rules.run(context, some)[0].select("rule_id", "path", "severity")
 
 
-def _context(functions: DataFrame, **more) -> rules.Context:
-    c = rules.Context(modules=more.pop("modules", functions), **more)
-    c.__dict__["functions"] = functions
-    return c
+# --- rules
 
 
 def _measured(spark, d, rule_id):
     rows = A.functions(spark, d).withColumnRenamed("path", "rel_path")
-    return rules.only(rule_id, _context(rows)).select("path", "symbol", "line", "severity")
+    return rules.only(rule_id, rules.Context(rows, given={"functions": rows})).select("path", "symbol", "line", "severity")
 
 
 def _measured_sql(column, warn, *scale):
@@ -352,8 +342,7 @@ def rule_too_many_parameters(spark, d):
 
 @query(_with(A.MODULES) + "SELECT rel_path AS path, CASE WHEN loc >= 1500 THEN 4 WHEN loc >= 800 THEN 3 ELSE 2 END AS severity FROM modules WHERE loc >= 400")
 def rule_large_file(spark, d):
-    rows = A.modules(spark, d).select(F.lit("").alias("snapshot"), "rel_path", "loc", F.lit(None).cast("string").alias("syntax_error"))
-    return rules.only("maintainability/large-file", rules.Context(modules=rows)).select("path", "severity")
+    return rules.only("maintainability/large-file", rules.Context(_modules(spark, d))).select("path", "severity")
 
 
 @query(
@@ -363,33 +352,54 @@ def rule_large_file(spark, d):
     WHERE methods >= 15 OR length >= 250 OR wmc >= 70"""
 )
 def rule_god_object(spark, d):
-    rows = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("methods"), F.max(F.col("p_partkey") % 300).alias("length"), F.sum("p_size").alias("wmc"))
-    rows = rows.withColumn("c", rules.god_criteria(F.col("methods"), F.col("length"), F.col("wmc"), T)).where(F.size("c") > 0)
-    return rows.select("p_brand", "p_type", F.size("c").alias("criteria"), rules.god_level(F.col("c")).cast("int").alias("severity"))
+    sizes = [F.count(F.lit(1)).alias("public_method_count"), F.max(F.col("p_partkey") % 300).alias("length"), F.sum("p_size").alias("wmc")]
+    rows = table(spark, d, "part").groupBy(F.col("p_brand").alias("rel_path"), F.col("p_type").alias("symbol")).agg(*sizes)
+    rows = rows.withColumns({"snapshot": F.lit(""), "name": F.col("symbol"), "lineno": F.lit(1), "ordinal": F.lit(0), "attribute_count": F.lit(0)})
+    found = rules.only("design/god-object", rules.Context(rows, given={"classes": rows}))
+    criteria = F.size(F.from_json("details", "criteria array<string>")["criteria"])
+    return found.select(F.col("path").alias("p_brand"), F.col("symbol").alias("p_type"), criteria.alias("criteria"), "severity")
+
+
+def _classes(spark, d) -> rules.Context:
+    """A source file a class: its methods and the attributes that each of them reads."""
+    each = A.members(spark, d).groupBy("owner", "method").agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_set("attribute")), lambda a: F.concat(F.lit("self.a"), a.cast("string")))).alias("body"))
+    methods = F.transform(F.array_sort(F.collect_list(F.struct("method", "body"))), lambda m: F.format_string("    def m%d(self):\n        %s\n", m["method"], m["body"]))
+    files = each.groupBy("owner").agg(F.concat(F.lit("class K:\n"), F.array_join(methods, "")).alias("content"))
+    return rules.Context(parse.parse_sources(files.select(F.format_string("c%d.py", "owner").alias("rel_path"), "content")))
+
+
+def _owner() -> Column:
+    return F.regexp_extract("rel_path", r"(\d+)", 1).cast("long").alias("owner")
 
 
 @query(_with(A.GROUPS) + "SELECT owner, lcom FROM groups")
 def lcom_components(spark, d):
-    return graphs.cohesion(A.members(spark, d), ["owner"], "method", "attribute").select("owner", F.col("groups").alias("lcom"))
+    return _classes(spark, d).classes.select(_owner(), "lcom")
 
 
 @query(_with(A.GROUPS) + "SELECT owner, lcom, CASE WHEN lcom >= 5 THEN 3 ELSE 2 END AS severity FROM groups WHERE lcom >= 3")
 def rule_low_cohesion(spark, d):
-    rows = graphs.cohesion(A.members(spark, d), ["owner"], "method", "attribute").where(F.col("groups") >= T.lcom_warn)
-    return rows.select("owner", F.col("groups").alias("lcom"), rules.cohesion_level(F.col("groups"), T).cast("int").alias("severity"))
+    found = rules.only("design/low-cohesion", _classes(spark, d)).withColumnRenamed("path", "rel_path")
+    return found.select(_owner(), F.get_json_object("details", "$.lcom").cast("int").alias("lcom"), "severity")
+
+
+_NO_TEST = "string_split(rel_path, '/')[1] NOT IN ('tests', 'test')"
 
 
 @query(
     _with(A.MODULES)
-    + r"""SELECT rel_path AS path, 'module' AS kind FROM modules WHERE NOT starts_with(text, 'The') AND doc_id % 7 <> 0
-    UNION ALL SELECT rel_path || '#' || w, 'symbol' FROM (SELECT rel_path, unnest(list_distinct(list_filter(string_split(substr(text, 1, 200), ' '), lambda x: starts_with(x, 'de')))) AS w FROM modules WHERE doc_id % 7 <> 0)"""
+    + rf"""SELECT rel_path AS path, 'module' AS kind FROM modules WHERE NOT starts_with(text, 'The') AND {_NO_TEST}
+    UNION ALL SELECT rel_path || '#' || w, 'symbol' FROM (SELECT rel_path, unnest(list_distinct(list_filter(string_split(text, ' '), lambda x: starts_with(x, 'de')))) AS w FROM modules WHERE {_NO_TEST})"""
 )
 def rule_missing_docstring(spark, d):
-    files = A.modules(spark, d).where(~paths.is_test_module(F.col("rel_path")))
-    own = files.where(~F.col("text").startswith("The")).select(F.col("rel_path").alias("path"), F.lit("module").alias("kind"))
+    """Texts that do not begin with an article lack a docstring, and so do the words that stand for functions."""
+    files = A.modules(spark, d).select(F.lit("").alias("snapshot"), "rel_path", F.col("rel_path").alias("module_name"), F.col("text").startswith("The").alias("has_docstring"), F.lit(None).cast("string").alias("syntax_error"), F.lit("").alias("name"), "text")
     words = F.array_distinct(F.filter(F.split("text", " "), lambda x: x.startswith("de")))
-    symbols = files.select("rel_path", F.explode(words).alias("w")).select(F.concat_ws("#", "rel_path", "w").alias("path"), F.lit("symbol").alias("kind"))
-    return own.unionByName(symbols)
+    functions = files.select("snapshot", "rel_path", "module_name", F.posexplode(words).alias("ordinal", "name"))
+    functions = functions.select("*", F.concat_ws("#", "rel_path", "name").alias("qualname"), F.lit(1).alias("lineno"), F.lit(False).alias("has_docstring"), F.lit(False).alias("is_decorated"))
+    none = functions.limit(0).withColumn("symbol", F.lit(""))
+    found = rules.only("documentation/missing-docstring", rules.Context(files, given={"functions": functions, "classes": none}))
+    return found.select(F.coalesce("symbol", "path").alias("path"), F.when(F.col("symbol").isNull(), "module").otherwise("symbol").alias("kind"))
 
 
 _KINDS = (("hardcoded-secret", r"token = ", 3, "security/hardcoded-secret"), ("weak-hash", r"[0-9a-f]{32}", 2, "security/weak-hash"), ("shell-execution", r"\$\$", 3, "security/shell-execution"))
@@ -402,22 +412,29 @@ _KINDS = (("hardcoded-secret", r"token = ", 3, "security/hardcoded-secret"), ("w
 )
 def rule_signals(spark, d):
     hits = F.array(*(F.when(F.col("text").rlike(p), F.lit(k)) for k, p, _, _ in _KINDS))
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("kind"))
-    meta = spark.createDataFrame([(k, s, r) for k, _, s, r in _KINDS], "kind string, severity int, rule_id string")
-    return rows.join(F.broadcast(meta), "kind").select("doc_id", "kind", "severity", "rule_id")
+    signals = table(spark, d, "documents").select(F.lit("").alias("snapshot"), F.col("doc_id").cast("string").alias("rel_path"), F.posexplode(F.filter(hits, lambda x: x.isNotNull())).alias("ordinal", "kind"))
+    signals = signals.select("*", F.lit(1).alias("lineno"), F.lit("").alias("detail"))
+    found, _ = rules.run(rules.Context(signals, given={"signals": signals}), tuple(r for r in rules.RULES if r.category == "security"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), F.get_json_object("details", "$.kind").alias("kind"), "severity", "rule_id")
+
+
+_SECRET = r'([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"'
 
 
 @query(
-    r"""SELECT doc_id, name, length(value) AS value_length FROM (SELECT doc_id, regexp_extract(text, '([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"', 1) AS name,
-    regexp_extract(text, '([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"', 2) AS value FROM documents)
-    WHERE name <> '' AND NOT regexp_matches(lower(value), 'example|placeholder|changeme|change_me|dummy|fake|sample|xxxx|your_|todo|<|test')"""
+    rf"""SELECT doc_id, name, length(value) AS value_length FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_SECRET}', 1)) AS name, unnest(regexp_extract_all(text, '{_SECRET}', 2)) AS value FROM documents)
+    WHERE NOT regexp_matches(lower(value), 'example|placeholder|changeme|change_me|dummy|fake|sample|xxxx|your_|todo|<|test|\$\{{|\{{\{{')"""
 )
 def secret_scan(spark, d):
-    pattern = r'([A-Za-z_]*(?:token|secret|password)[A-Za-z_]*) *= *"([^"]{8,})"'
-    found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "value"))))
-    rows = table(spark, d, "documents").select("doc_id", F.inline(found))
-    placeholder = F.lower("value").rlike("example|placeholder|changeme|change_me|dummy|fake|sample|xxxx|your_|todo|<|test")
-    return rows.where(~placeholder).select("doc_id", "name", F.length("value").cast("long").alias("value_length"))
+    """The assignments in each text as a source file, a line each, through the rule."""
+    found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(_SECRET), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "value"))))
+    rows = table(spark, d, "documents").select("doc_id", found.alias("found")).where(F.size("found") > 0)
+    literal = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+    lines = F.transform("found", lambda x: F.concat(x["name"], F.lit(" = "), literal(x["value"])))
+    files = rows.select(F.col("doc_id").cast("string").alias("rel_path"), F.array_join(lines, "\n").alias("content"))
+    told = rules.only("security/hardcoded-secret", rules.Context(parse.parse_sources(files))).select(F.col("path").cast("long").alias("doc_id"), "line")
+    each = rows.select("doc_id", F.posexplode("found").alias("at", "x")).withColumn("line", F.col("at") + 1)
+    return each.join(told, ["doc_id", "line"]).select("doc_id", "x.name", F.length("x.value").cast("long").alias("value_length"))
 
 
 _PRIVATE = "'_' || split_part(p_name, ' ', 1) || '_' || (p_partkey % 40)"
@@ -425,17 +442,28 @@ _PRIVATE = "'_' || split_part(p_name, ' ', 1) || '_' || (p_partkey % 40)"
 
 @query(f"SELECT p_partkey, {_PRIVATE} AS name FROM part WHERE {_PRIVATE} NOT IN (SELECT {_PRIVATE} FROM part WHERE p_size > 47 UNION SELECT {_PRIVATE} FROM part WHERE p_size = 3)")
 def dead_private(spark, d):
-    part = table(spark, d, "part").select("p_partkey", "p_size", F.expr(_PRIVATE).alias("name"))
+    part = table(spark, d, "part").select(F.lit("").alias("snapshot"), "p_size", F.expr(_PRIVATE).alias("name"), F.col("p_partkey").alias("ordinal"))
     used = lambda c: F.filter(F.array(F.when(c, F.col("name"))), lambda x: x.isNotNull())
-    m = part.select(F.lit("").alias("snapshot"), used(F.col("p_size") > 47).alias("references"), used(F.col("p_size") == 3).alias("exports"))
-    return part.join(rules.used_names(m).select("name"), "name", "left_anti").select("p_partkey", "name")
+    modules = part.select("snapshot", used(F.col("p_size") > 47).alias("references"), used(F.col("p_size") == 3).alias("exports"))
+    functions = part.select("*", F.col("name").alias("qualname"), F.lit("").alias("rel_path"), F.lit(1).alias("lineno"), F.lit(True).alias("is_private"), F.lit(False).alias("is_decorated"), F.lit(False).alias("is_method"))
+    found = rules.only("dead-code/unused-private-function", rules.Context(modules, given={"functions": functions}))
+    return found.select(F.col("src_ordinal").alias("p_partkey"), F.col("symbol").alias("name"))
 
 
 @query("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'R' AND (l_orderkey, l_partkey % 7) NOT IN (SELECT l_orderkey, l_suppkey % 7 FROM lineitem)")
 def unused_imports(spark, d):
-    rows = table(spark, d, "lineitem")
-    bound = rows.where("l_returnflag <> 'R'").select("l_orderkey", "l_partkey", (F.col("l_partkey") % 7).alias("name"))
-    return bound.join(rows.select("l_orderkey", (F.col("l_suppkey") % 7).alias("name")).distinct(), ["l_orderkey", "name"], "left_anti").select("l_orderkey", "l_partkey").distinct()
+    """Orders are files: their lines import a part under a name of seven, and use the supplier's."""
+    numbered = lambda c: F.concat(F.lit("n"), (F.col(c) % 7).cast("string"))
+    one = F.struct(
+        F.col("l_partkey").cast("string").alias("module"), F.lit("x").alias("name"), numbered("l_partkey").alias("alias"), F.lit(1).alias("lineno"), F.lit(True).alias("is_from"), F.lit(0).alias("level")
+    )
+    files = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("rel_path")).agg(
+        F.collect_set(F.when(F.col("l_returnflag") != "R", one)).alias("imports"), F.collect_set(numbered("l_suppkey")).alias("references")
+    )
+    modules = files.select("*", F.lit("").alias("snapshot"), F.col("rel_path").alias("module_name"), F.lit(False).alias("is_package"), F.array().cast("array<string>").alias("exports"))
+    found = rules.only("dead-code/unused-import", rules.Context(modules))
+    part = F.split_part(F.get_json_object("details", "$.statement"), F.lit(" "), F.lit(2))
+    return found.select(F.col("path").cast("long").alias("l_orderkey"), part.cast("long").alias("l_partkey"))
 
 
 # --- names and graphs
@@ -461,11 +489,18 @@ def import_resolution(spark, d):
     return found.select("page_id", "target")
 
 
-@query(f"SELECT split_part(dotted, '.', 1) AS package, count(*) AS n FROM (SELECT {_DOTTED} AS dotted FROM pages WHERE page_id % 2 = 0) GROUP BY 1")
+@query(_with(_NAMES, _PREFIXES) + "SELECT split_part(dotted, '.', 1) AS package, count(*) AS n FROM d WHERE page_id NOT IN (SELECT page_id FROM pre JOIN names USING (name)) GROUP BY 1")
 def external_roots(spark, d):
-    unresolved = import_resolution(spark, d).where("target IS NULL").select("page_id")
-    rows = _dotted(spark, d).join(unresolved, "page_id", "left_semi")
-    return rows.groupBy(F.split_part("dotted", F.lit("."), F.lit(1)).alias("package")).agg(F.count(F.lit(1)).alias("n"))
+    """Every page is a file that imports its own address; the files that can be meant are those of import_resolution."""
+    rows = _dotted(spark, d)
+    head = F.array_join(F.slice(F.split("dotted", r"\."), 1, 4), ".")
+    one = F.struct(F.col("dotted").alias("module"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(1).alias("lineno"), F.lit(False).alias("is_from"), F.lit(0).alias("level"))
+    importing = rows.select(F.concat(F.lit("//"), F.col("page_id").cast("string")).alias("module_name"), F.array(one).alias("imports"))
+    names = rows.where("page_id % 3 = 0").select(F.col("dotted").alias("module_name")).union(rows.where("page_id % 3 = 1").select(head)).distinct()
+    modules = importing.unionByName(names, allowMissingColumns=True).fillna("").select(
+        "module_name", "imports", F.lit("").alias("snapshot"), F.col("module_name").alias("rel_path"), F.lit(False).alias("is_package"), F.array().cast("array<string>").alias("references"), F.array().cast("array<string>").alias("exports")
+    )
+    return resolve.import_graph(modules)[1].select("package", "n")
 
 
 _CALLS = """calls AS (SELECT DISTINCT CAST(l_partkey % 40 AS VARCHAR) AS module_name, CASE WHEN l_linenumber % 2 = 0 THEN 'K' || (l_suppkey % 6) END AS class_name,
@@ -526,8 +561,7 @@ def fan_in_out(spark, d):
 
 @query(_with(A.EDGES, A.VERTICES) + "SELECT (SELECT count(*) FROM vertices) AS modules, (SELECT count(*) FROM edges) AS imports")
 def graph_counts(spark, d):
-    n = A.all_vertices(spark, d).agg(F.count(F.lit(1)).alias("modules"))
-    return n.join(A.edges(spark, d).agg(F.count(F.lit(1)).alias("imports")))
+    return graphs.sizes(A.all_vertices(spark, d), A.edges(spark, d)).select("modules", "imports")
 
 
 @query(_with(A.EDGES, A.VERTICES, _DEGREES) + "SELECT name, round(CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out)::DOUBLE ELSE 0 END, 6) AS instability FROM deg")
@@ -556,8 +590,11 @@ def scc_cycles(spark, d):
 
 @query(_with(A.EDGES, _REACH) + "SELECT component, count(*)::INTEGER AS size, CASE WHEN count(*) >= 3 THEN 3 ELSE 2 END AS severity FROM scc GROUP BY component")
 def rule_cyclic_import(spark, d):
-    rows = graphs.cycles(graphs.cyclic_components(A.edges(spark, d)))
-    return rows.select("component", "size", F.when(F.col("size") >= 3, 3).otherwise(2).alias("severity"))
+    edges = A.edges(spark, d)
+    names = edges.select("snapshot", F.col("src").alias("module_name"), F.concat("src", F.lit(".py")).alias("rel_path")).distinct()
+    found = rules.only("dependencies/cyclic-import", rules.Context(names, edges=edges))
+    said = F.from_json("details", "modules array<string>, size int")
+    return found.select(said["modules"][0].alias("component"), said["size"].alias("size"), "severity")
 
 
 @query(_with(A.EDGES, A.VERTICES) + """SELECT 0 AS part, '    "' || name || '";' AS line FROM vertices UNION ALL SELECT 1, '    "' || src || '" -> "' || dst || '";' FROM edges""")
@@ -567,7 +604,10 @@ def dot_edges(spark, d):
 
 @query(_with(A.EDGES) + "SELECT dst AS callee, count(DISTINCT src) AS callers FROM edges GROUP BY dst")
 def caller_counts(spark, d):
-    return A.edges(spark, d).groupBy(F.col("dst").alias("callee")).agg(F.countDistinct("src").alias("callers"))
+    names = A.all_vertices(spark, d)
+    edges = A.edges(spark, d).select("snapshot", F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    found = findings.with_callers(names.select("snapshot", F.col("name").alias("symbol")), names, edges)
+    return found.where("callers > 0").select(F.col("symbol").alias("callee"), F.col("callers").cast("long").alias("callers"))
 
 
 @query(
@@ -712,7 +752,7 @@ def trend_best_worst(spark, d):
 
 @query(_with(A.DAYS, _TREND) + "SELECT day, score - lag(score) OVER (ORDER BY day) AS change FROM sampled")
 def trend_changes(spark, d):
-    return _trend(spark, d).select("day", (F.col("score") - F.lag("score").over(Window.orderBy("day"))).alias("change"))
+    return trend.changes(_trend(spark, d), "day").select("day", "change")
 
 
 # --- packs, reviews and other displays
@@ -720,13 +760,15 @@ def trend_changes(spark, d):
 
 @query(
     _with(A.FINDINGS, A.HISTORY)
-    + f"SELECT f.src_ordinal, {A.LABEL} AS severity, rule_id, CASE WHEN line IS NULL THEN f.path ELSE f.path || ':' || line END AS location, h.commits, h.authors FROM (SELECT * FROM findings ORDER BY severity DESC, path, coalesce(line, 0), rule_id, rule_ordinal, src_ordinal LIMIT 20) f LEFT JOIN history h ON h.path = CAST(f.src_ordinal AS VARCHAR)"
+    + f"SELECT f.symbol, {A.LABEL} AS severity, rule_id, CASE WHEN line IS NULL THEN f.path ELSE f.path || ':' || line END AS location, h.commits, h.authors FROM (SELECT * FROM findings ORDER BY severity DESC, path, coalesce(line, 0), rule_id, rule_ordinal, src_ordinal LIMIT 20) f LEFT JOIN history h ON h.path = CAST(f.src_ordinal AS VARCHAR) AND f.symbol IS NOT NULL"
 )
 def context_pack(spark, d):
-    first = findings.ordered(A.findings(spark, d)).limit(20)
-    own = history.file_history(A.changes(spark, d)).select(F.col("path").cast("long").alias("src_ordinal"), "commits", "authors")
-    rows = first.join(own, "src_ordinal", "left")
-    return rows.select("src_ordinal", severity.label(F.col("severity")).alias("severity"), "rule_id", text.location(F.col("path"), F.col("line")).alias("location"), "commits", "authors")
+    every = A.findings(spark, d).withColumns({n: F.lit("") for n in ("title", "message", "suggestion")} | {"details": F.lit("{}")})
+    past = history.file_history(A.changes(spark, d)).select(F.col("path").cast("long").alias("src_ordinal"), "commits", "authors", F.col("churn").alias("lines"), "last_modified")
+    churn = every.join(past, "src_ordinal").select("path", F.col("symbol").alias("qualname"), "commits", "authors", "lines", "last_modified")
+    told = packs.facts(findings.ordered(every).limit(20), churn=churn)
+    rows = [(f.symbol, f.severity, f.rule_id, f.path if f.line is None else f"{f.path}:{f.line}", *((f.churn["commits"], f.churn["authors"]) if f.churn else (None, None))) for f in told]
+    return spark.createDataFrame(rows, "symbol string, severity string, rule_id string, location string, commits long, authors long")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) IN (SELECT p_size FROM part) AS kept FROM events")
@@ -741,9 +783,8 @@ def review_items(spark, d):
     + f"SELECT files, loc AS source_lines, {A.SCORE} AS score, {A.GRADE} AS grade FROM (SELECT files, loc, {A.PENALTY} / greatest(1.0::DOUBLE, loc / 100.0::DOUBLE) AS dens FROM c, m)"
 )
 def repo_summary(spark, d):
-    m = A.modules(spark, d)
-    scored = scoring.health_score(A.findings(spark, d), m.select("loc"))
-    return m.agg(F.count(F.lit(1)).alias("files")).join(scored.select(F.col("loc").alias("source_lines"), "score", "grade"))
+    a = generated.analysis(A.modules(spark, d), A.findings(spark, d))
+    return spark.createDataFrame([(a.file_count, a.source_lines, a.score.score, a.score.grade)], "files long, source_lines long, score int, grade string")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 3 = 0 THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM events")
@@ -781,7 +822,7 @@ def analyze_embedded_calls(spark, d):
     return edges.select("caller", "callee")
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha1(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS content_hash, 1 AS version FROM documents")
 def incremental_stream(spark, d):
     """Documents as they arrive in files, kept up to date by id and content hash."""
     return streaming.index_stream.replay(spark, d)

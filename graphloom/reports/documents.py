@@ -47,14 +47,15 @@ def document(a: Analysis, findings: DataFrame | None = None) -> dict[str, Any]:
     """Everything that is known, as one object."""
     s, rows = a.score, a.findings if findings is None else findings
     calls = a.call_edges.groupBy(F.col("callee").alias("name")).agg(F.countDistinct("caller").alias("n"))
+    sizes = graphs.sizes(a.degrees, a.edges).first()
     known = a.findings.count() - a.new_findings.count() if a.new_findings is not None else 0
     return {
         "tool": {"name": NAME, "version": __version__},
         "repository": {"root": str(a.root), "files": a.file_count, "source_lines": a.source_lines},
         "score": {"value": s.score, "grade": s.grade, "penalty": s.penalty, "density": s.density, "severity_counts": severity_counts(a)},
         "graph": {
-            "modules": a.degrees.count(),
-            "internal_imports": a.edges.count(),
+            "modules": sizes.modules,
+            "internal_imports": sizes.imports,
             "cycles": a.cycles,
             "external_packages": {r.package: r.n for r in a.externals.orderBy(F.desc("n"), "package").collect()},
             "instability": [

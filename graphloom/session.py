@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.errors import ConfigurationError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where it names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/graphloom-shared"
-    context = spark.sparkContext
+    """The session's checkpoint folder, which all executors must share. Only a session on one machine may name none: it
+    gets a temporary one."""
+    path, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{tempfile.gettempdir()}/graphloom-shared"
+        spark.conf.set("spark.checkpoint.dir", path)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(path)
     return path

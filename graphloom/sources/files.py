@@ -35,8 +35,17 @@ def _walk(root: Path) -> Iterator[str]:
                 yield os.path.relpath(path, root).replace(os.sep, "/")
 
 
+def _content(path: str) -> tuple[bytes | None, str | None]:
+    try:
+        with open(path, "rb") as f:
+            return f.read(), None
+    except OSError as error:
+        return None, f"{type(error).__name__}: {error.strerror or error}"
+
+
 def source_files(spark: SparkSession, root: Path, exclude: Sequence[str] = (), only: Collection[str] | None = None) -> DataFrame:
-    """The files' contents, read where they are parsed: only names leave the driver. ``only`` keeps some paths.
+    """The files' contents, read where they are parsed: only names leave the driver. ``only`` keeps some paths. A file that
+    cannot be read has no content but ``read_error``.
 
     The executors must see ``root``. Spark's own file sources skip names that begin with an underscore, as every package's
     own file does, so they cannot be used here; sources that are in a table already need none of this.
@@ -48,12 +57,10 @@ def source_files(spark: SparkSession, root: Path, exclude: Sequence[str] = (), o
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                contents = []
-                for name in part.column(0).to_pylist():
-                    with open(os.path.join(where, name), "rb") as f:
-                        contents.append(f.read())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(contents, pa.binary())], ["rel_path", "content"])
+                found = [_content(os.path.join(where, name)) for name in part.column(0).to_pylist()]
+                contents, errors = (pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.binary(), pa.string())))
+                yield pa.RecordBatch.from_arrays([part.column(0), contents, errors], ["rel_path", "content", "read_error"])
 
     listed = spark.createDataFrame([(f,) for f in names], "rel_path string")
     spread = max(1, min(len(names) // 16, 4 * spark.sparkContext.defaultParallelism))
-    return listed.repartition(spread).mapInArrow(read, "rel_path string, content binary")
+    return listed.repartition(spread).mapInArrow(read, "rel_path string, content binary, read_error string")

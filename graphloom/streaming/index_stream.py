@@ -1,12 +1,14 @@
 """A chunk table kept up to date from a stream of files.
 
-Each micro-batch is merged by id: the newest content wins, what is unchanged is left alone. The table's state is one
-version folder per batch under the target; a batch that is run again writes the same version again, so a failure between
-writing and committing repeats nothing.
+Each micro-batch is merged by id: the newest content wins. The table is cut into buckets by a hash of the id, and a batch
+writes anew only the buckets that it touches, each under its own number, so a batch that is run again writes the same
+folders again, and a failure between writing and committing repeats nothing. Of a bucket the newest version counts and the
+one before it is kept.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +18,59 @@ from graphloom.operators import chunks
 from graphloom.session import shared_dir
 from graphloom.tables import table
 
+BUCKETS = 64
+_ROW = "chunk_id string, content_hash string, version int"
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Of each bucket the batches that wrote it, in order."""
+    fs, at = _fs(spark, f"{target}/batch=*/bucket=*")
+    found: dict[int, list[int]] = {}
+    for status in fs.globStatus(at) or []:
+        batch, bucket = map(int, re.search(r"batch=(\d+)/bucket=(\d+)$", status.getPath().toString()).groups())
+        found.setdefault(bucket, []).append(batch)
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _read(spark: SparkSession, target: str, newest: dict[int, int]) -> DataFrame:
+    folders = [f"{target}/batch={batch}/bucket={bucket}" for bucket, batch in newest.items()]
+    return spark.read.schema(_ROW).parquet(*folders) if folders else spark.createDataFrame([], _ROW)
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """chunk_id, content_hash, version of the table as it is."""
+    return _read(spark, target, {bucket: batches[-1] for bucket, batches in versions(spark, target).items()})
+
 
 def _merge(spark: SparkSession, target: str):
+    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy("chunk_id").agg(F.max_by("content_hash", "version").alias("content_hash"), F.max("version").alias("version"))
-        if batch_id:
-            old = spark.read.parquet(f"{target}/{batch_id - 1}")
-            new = old.unionByName(new).groupBy("chunk_id").agg(F.max_by("content_hash", "version").alias("content_hash"), F.max("version").alias("version"))
-        new.write.mode("overwrite").parquet(f"{target}/{batch_id}")
+        new = batch.select("chunk_id", "content_hash", "version").persist()
+        touched = [r.bucket for r in new.select(bucket).distinct().collect()]  # BUCKETS at most
+        known = versions(spark, target)
+        before = {b: [v for v in known.get(b, []) if v < batch_id] for b in touched}
+        old = _read(spark, target, {b: v[-1] for b, v in before.items() if v})
+        merged = old.unionByName(new).groupBy("chunk_id").agg(F.max_by("content_hash", "version").alias("content_hash"), F.max("version").alias("version"))
+        merged.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={batch_id}")
+        new.unpersist()
+        for b, batches in before.items():
+            for v in batches[:-1]:
+                fs, at = _fs(spark, f"{target}/batch={v}/bucket={b}")
+                fs.delete(at, True)
 
     return merge
 
 
-def keep_current(stream: DataFrame, target: str, checkpoint: str) -> int:
-    """Run what has arrived in ``stream`` (chunk_id, content_hash, version) to its end; the last version's number."""
+def keep_current(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Run what has arrived in ``stream`` (chunk_id, content_hash, version) to its end."""
     running = stream.writeStream.foreachBatch(_merge(stream.sparkSession, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     running.awaitTermination()
-    return (running.lastProgress or {}).get("batchId", 0)
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,18 +78,9 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "documents")
     body = lambda v: F.when((F.lit(v) == 1) & (F.col("doc_id") % 5 == 0), F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    last = 0
     for version in (0, 1):
         part = rows.select(F.col("doc_id").cast("string").alias("chunk_id"), chunks.content_hash(body(version)).alias("content_hash"), F.lit(version).alias("version"))
         part.write.parquet(f"{at}/in/{version}")
-        stream = spark.readStream.schema("chunk_id string, content_hash string, version int").parquet(f"{at}/in/*")
-        last = keep_current(stream, f"{at}/table", f"{at}/checkpoint")
-    versions = [int(v) for v in _folders(spark, f"{at}/table")]
-    return spark.read.parquet(f"{at}/table/{max([last, *versions])}")
-
-
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(at)]
+        stream = spark.readStream.schema(_ROW).parquet(f"{at}/in/*")
+        keep_current(stream, f"{at}/table", f"{at}/checkpoint")
+    return current(spark, f"{at}/table")
