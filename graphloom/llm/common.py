@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import cut, shared_dir
+
+__all__ = ["WORD", "cut", "fold", "fresh", "keep_rows", "labelled_sample", "map_rows", "shared_dir", "table", "text_key", "text_of", "union_all"]
+
 #: One ASCII word of the contracts: what stands between the bytes 0x20 and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a default of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/graphloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that no lost executor repeats it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id falls into fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
