@@ -5,9 +5,10 @@ record's header line: five of them in version 1, ten in version 2. A record's bo
 nothing else delimits it. The converter gives each record what WARC asks for besides: an identifier (the same one for the
 same record at every run), an ISO timestamp, a type and digests.
 
-WARC archives are written by Spark's text writer, a record a row and the two blank lines that end a record as the row
-separator, so retried tasks leave no half-written archive. Archives are bounded in bytes and read as a whole, each by one
-task, again by declared lengths alone.
+WARC archives begin with a warcinfo record and hold a gzip member for each record, so that any of them can be read from its
+offset. Spark's text writer writes them, a member a row, so retried tasks leave no half-written archive; its row separator
+is an empty gzip member, which adds nothing to the text. Archives are bounded in bytes and read as a whole, each by one task,
+again by declared lengths alone. A revisit names the WARC-Record-ID of the response that has its payload.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_rows, shared_dir, table
+from graphloom.llm.common import cut, map_rows, shared_dir, table
 
 #: Payloads from this size on are stored once.
 REVISIT_FROM = 1000
@@ -33,6 +35,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Namespace of the record identifiers.
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 _END = b"\r\n\r\n"
+#: Ways that the rows of null ids with one payload are dealt out.
+_SPREAD = 32
 #: Field names of the header line by version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -140,14 +144,24 @@ def _plain_bytes(data: bytes) -> bytes:
     """The bytes of a gzip file of any number of members, or the data itself."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
+        while not member.eof and at < len(data):  # in pieces, as what follows a member is copied
+            piece = data[at : at + 16_384]
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        if not member.eof:
+            raise ArchiveError(f"no end of the gzip member before byte {at}")
     return b"".join(out)
 
 
+def gzip_member(data: bytes) -> bytes:
+    """The same bytes at every run."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
+
 def digest(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -184,14 +198,29 @@ def to_warc(record: ArcRecord, identity: str = "") -> WarcRecord:
     return made
 
 
-def as_revisit(record: WarcRecord, refers_to: str) -> WarcRecord:
+def warcinfo(name: str) -> WarcRecord:
+    """The record that an archive begins with."""
+    block = b"software: graphloom\r\nformat: WARC File Format 1.0\r\n"
+    headers = {
+        "WARC-Type": "warcinfo",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>",
+        "WARC-Date": "2000-01-01T00:00:00Z",
+        "Content-Type": "application/warc-fields",
+        "WARC-Block-Digest": digest(block),
+    }
+    return WarcRecord("warcinfo", headers, block)
+
+
+def as_revisit(record: WarcRecord, original: WarcRecord) -> WarcRecord:
     """The record without its payload, naming the one that has it; the HTTP headers stay."""
     head, _, _ = record.block.partition(_END)
     block = head + _END
     headers = record.headers | {
         "WARC-Type": "revisit",
         "WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest",
-        "WARC-Refers-To": refers_to,
+        "WARC-Refers-To": original.headers["WARC-Record-ID"],
+        "WARC-Refers-To-Target-URI": original.headers["WARC-Target-URI"],
+        "WARC-Refers-To-Date": original.headers["WARC-Date"],
         "WARC-Block-Digest": digest(block),
     }
     return WarcRecord("revisit", headers, block)
@@ -266,50 +295,69 @@ def convert_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_archives(records: DataFrame, path: str) -> None:
-    """Write ``record`` (bytes) rows as gzip WARC archives, one a partition; each row is ended by two blank lines."""
-    rows = records.select(F.col("record").cast("string").alias("value"))
-    rows.write.mode("overwrite").option("lineSep", _END.decode()).option("compression", "gzip").text(path)
+    """Write ``record`` (bytes) rows as WARC archives, one a partition, each behind a warcinfo record."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"archive {TaskContext.get().partitionId()}"
+        for k, batch in enumerate(b for b in batches if b.num_rows):
+            rows = batch.column(0).to_pylist()
+            if k == 0:
+                rows = [write_record(warcinfo(name)), *rows]
+            yield pa.RecordBatch.from_arrays([pa.array([gzip_member(r + _END) for r in rows], pa.binary())], ["record"])
 
-def page_record(page_id: int | None, url: str | None, html: bytes, refers_to: int | None, same: bool) -> bytes:
-    """A page as the crawler of its time would have stored it, in an ARC archive of either version, converted to WARC.
+    rows = map_rows(records.select("record"), run, "record binary").select(F.col("record").cast("string").alias("value"))
+    rows.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", gzip_member(b"").decode("latin-1")).text(path)
 
-    ``same``: the payload is stored with page ``refers_to``.
-    """
+
+def _page(page_id: int | None, url: str | None, html: bytes) -> WarcRecord:
+    """A page as the crawler of its time would have stored it, in an ARC archive of either version, converted to WARC."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
     old = ArcRecord(url or "-", "0.0.0.0", "20000101000000", "text/html", http + html)
     (arc,) = read_arc(write_arc([old], 1 if (page_id or 0) % 2 else 2))
-    made = to_warc(arc, _identity(page_id))
+    made = to_warc(arc, "" if page_id is None else str(page_id))
     if page_id is not None:
         made.headers["WARC-Page-ID"] = str(page_id)
-    if same:
-        made = as_revisit(made, _identity(refers_to))
-    return write_record(made)
+    return made
 
 
-def _identity(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def page_record(page_id: int | None, url: str | None, html: bytes, keeper: Mapping | None = None) -> bytes:
+    """The record of a page; a revisit if its payload is that of ``keeper`` (page_id, url)."""
+    made = _page(page_id, url, html)
+    return write_record(as_revisit(made, _page(keeper["page_id"], keeper["url"], html)) if keeper else made)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of the archives under ``path``."""
-    names = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each page of the archives under ``path``.
+
+    A revisit is resolved by the identifier that it names; one that names no response of these archives with its payload's
+    digest and size fails the query.
+    """
+    names = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("original", pa.string())]
 
     def rows(data: bytes) -> Iterator[tuple]:
         for r in read_warc(data):
             h = r.headers
+            if r.kind == "warcinfo":
+                continue
             if r.kind == "revisit":
-                said = re.search(rb"\r\nContent-Length: (\d+)\r\n", r.block)
-                size, refers = int(said[1]), h["WARC-Refers-To"][len("<urn:page:") : -1]
+                size = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", r.block)[1])
             else:
-                size, refers = len(r.payload), ""
+                size = len(r.payload)
                 if digest(r.payload) != h["WARC-Payload-Digest"]:
                     raise ArchiveError(f"{h['WARC-Record-ID']}: the payload is not the one that was written")
             sha1 = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-            yield int(h["WARC-Page-ID"]) if "WARC-Page-ID" in h else None, size, sha1, r.kind, int(refers) if refers else None
+            yield int(h["WARC-Page-ID"]) if "WARC-Page-ID" in h else None, size, sha1, r.kind, h["WARC-Record-ID"], h.get("WARC-Refers-To")
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return map_rows(archive_files(spark, path), _archive_batches(rows, pa.schema(names)), schema)
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, original string"
+    found = cut(map_rows(archive_files(spark, path), _archive_batches(rows, pa.schema(names)), schema))
+    asked = found.where("original IS NOT NULL").select("original").distinct()
+    originals = found.where("record_type = 'response'").join(asked.withColumnRenamed("original", "record_id"), "record_id", "left_semi")
+    originals = originals.groupBy(F.col("record_id").alias("original")).agg(F.max("page_id").alias("refers_to"), F.max("payload_digest").alias("d"), F.max("payload_bytes").alias("n"))
+    joined = found.join(originals, "original", "left")
+    sound = (F.col("d") == F.col("payload_digest")) & (F.col("n") == F.col("payload_bytes"))
+    broken = F.raise_error(F.concat(F.lit("no response is what this revisit names: "), "record_id")).cast("long")
+    refers = F.when(F.col("record_type") != "revisit", F.lit(None)).when(sound, F.col("refers_to")).otherwise(broken)
+    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
 
 
 def archive_pages(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -321,23 +369,25 @@ def archive_pages(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    large = rows.where(F.length("html") >= REVISIT_FROM).select("page_id", F.unhex(F.sha1("html")).alias("digest"))
-    classes = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
+    large = rows.where(F.length("html") >= REVISIT_FROM).select("page_id", "url", "digest")
+    classes = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper.page_id IS NOT NULL").drop("n")
     # a page that is repeated with different payloads may revisit several pages, each under its payload's digest
-    revisits = large.join(classes, "digest").where("NOT page_id <=> keeper").select("page_id", "digest", "keeper").distinct()
+    revisits = large.join(classes, "digest").where("NOT page_id <=> keeper.page_id").select("page_id", "digest", "keeper").distinct()
     total = rows.agg(F.sum(F.length("html") + F.lit(600))).first()[0] or 0
     pieces = max(2, -(-total // archive_bytes))
-    # null ids are dealt out by their payload, else they would meet in one archive
-    at = [F.coalesce(F.col("page_id"), F.xxhash64("digest")).alias("at")]
-    left = rows.withColumn("digest", F.when(F.length("html") >= REVISIT_FROM, F.unhex(F.sha1("html")))).select("*", *at)
-    right = revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper", *at)
+    # null ids are dealt out by payload and address, else they would meet in one archive
+    at = lambda salt: F.coalesce(F.col("page_id"), F.xxhash64("digest", salt)).alias("at")
+    left = rows.select("*", at(F.pmod(F.xxhash64("url"), F.lit(_SPREAD))))
+    salts = F.explode(F.when(F.col("page_id").isNull(), F.sequence(F.lit(0), F.lit(_SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    right = revisits.withColumn("salt", salts).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper", at(F.col("salt").cast("long")))
     left, right = left.repartition(pieces, "at"), right.repartition(pieces, "at")
     here = (left["at"] == right["at"]) & left["page_id"].eqNullSafe(right["p"]) & (left["digest"] == right["d"])
     joined = left.join(right, here, "left").select("page_id", "url", "html", "keeper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            records = [page_record(i, u, h, k, k is not None) for i, u, h, k in zip(*(batch.column(n).to_pylist() for n in range(4)))]
+            records = [page_record(*row) for row in zip(*(batch.column(n).to_pylist() for n in range(4)))]
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
     save_archives(map_rows(joined, run, "record binary"), path)

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import zlib
 
 import pytest
 
@@ -33,6 +34,39 @@ def test_round_trip(spark, tmp_path):
     assert A.read_pages(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_archives_are_warc(spark, tmp_path):
+    """A member a record, a warcinfo first, identifiers that every revisit resolves to, digests of what it stands for."""
+    frame = spark.createDataFrame(rows(), "page_id long, url string, html string")
+    A.archive_pages(frame, str(tmp_path / "a"), 5000)
+    records, revisits = {}, []
+    for file in sorted((tmp_path / "a").glob("part-*")):
+        data, members = file.read_bytes(), []
+        while data:
+            member = zlib.decompressobj(31)
+            members.append(member.decompress(data))
+            assert member.eof
+            data = member.unused_data
+        assert gzip.decompress(file.read_bytes()) == b"".join(members)
+        found = [next(A.read_warc(m)) for m in members if m]
+        assert [r.headers for r in A.read_warc(file.read_bytes())] == [r.headers for r in found]
+        assert [r.kind for r in found].count("warcinfo") == 1 and found[0].kind == "warcinfo"
+        records |= {r.headers["WARC-Record-ID"]: r for r in found if r.kind == "response"}
+        revisits += [r for r in found if r.kind == "revisit"]
+    assert len(revisits) == sum(r[3] == "revisit" for r in expected(rows()))
+    for r in revisits:
+        original = records[r.headers["WARC-Refers-To"]]
+        assert r.headers["WARC-Payload-Digest"] == original.headers["WARC-Payload-Digest"] == A.digest(original.payload)
+        assert r.headers["WARC-Refers-To-Target-URI"] == original.headers["WARC-Target-URI"]
+
+
+def test_revisits_of_nothing_fail(spark, tmp_path):
+    big = b"x" * 2000
+    lost = [A.page_record(1, "u", big, {"page_id": 2, "url": "u"}), A.page_record(2, "v", big)]
+    A.save_archives(spark.createDataFrame([(r,) for r in lost], "record binary"), str(tmp_path / "a"))
+    with pytest.raises(Exception, match="this revisit names"):
+        A.read_pages(spark, str(tmp_path / "a")).collect()
+
+
 def test_table(spark, sf_dir):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     assert collected(A.op7_warc(spark, sf_dir)) == expected(pages)
