@@ -66,6 +66,23 @@ def _sparse(texts: list[bytes], p: Params) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+def gradients(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+    """(buckets, gradients of their vectors, of the output layer, of its bias) of the summed cross entropy of a batch."""
+    dim = vectors.shape[1]
+    ids, share = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    weighted = vectors[ids] * share[:, None]
+    hidden = np.stack([np.bincount(doc, weighted[:, d], len(rows)) for d in range(dim)], 1)
+    logits = hidden @ out + bias
+    odds = np.exp(logits - logits.max(1, keepdims=True))
+    error = odds / odds.sum(1, keepdims=True)
+    error[np.arange(len(rows)), labels] -= 1
+    step = (error @ out.T)[doc] * share[:, None]
+    unique, at = np.unique(ids, return_inverse=True)
+    grad = np.stack([np.bincount(at, step[:, d], len(unique)) for d in range(dim)], 1)
+    return unique, grad, hidden.T @ error, error.sum(0)
+
+
 def train(texts: list[bytes], labels: list[int], p: Params = Params()) -> tuple[np.ndarray, float]:
     """(a number a bucket, bias): their average over a text's features plus the bias is the log odds of label 1.
 
@@ -79,30 +96,15 @@ def train(texts: list[bytes], labels: list[int], p: Params = Params()) -> tuple[
         return np.zeros(total, np.float32), prior
     rng = np.random.default_rng(p.seed)
     rows = _sparse(texts, p)
-    y = np.array(labels, np.float64)
+    y = np.array(labels, np.int64)
     vectors = rng.normal(0, 0.1, (total, p.dim))
     out, bias = rng.normal(0, 1, (p.dim, 2)), np.array([0.0, prior])
     seen_v, seen_o, seen_b = np.full(total, 1e-8), 1e-8, 1e-8
     for epoch in range(p.epochs):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // p.batch)):
-            ids = np.concatenate([rows[i][0] for i in part])
-            share = np.concatenate([rows[i][1] for i in part])
-            doc = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
-            hidden = np.zeros((len(part), p.dim))
-            weighted = vectors[ids] * share[:, None]
-            for d in range(p.dim):
-                hidden[:, d] = np.bincount(doc, weighted[:, d], len(part))
-            logits = hidden @ out + bias
-            odds = np.exp(logits - logits.max(1, keepdims=True))
-            error = odds / odds.sum(1, keepdims=True)
-            error[np.arange(len(part)), y[part].astype(int)] -= 1
-            back = error @ out.T
-            step = back[doc] * share[:, None]
-            unique, at = np.unique(ids, return_inverse=True)
-            grad = np.stack([np.bincount(at, step[:, d], len(unique)) for d in range(p.dim)], 1)
+            unique, grad, g_out, g_bias = gradients(vectors, out, bias, [rows[i] for i in part], y[part])
             seen_v[unique] += (grad**2).mean(1)
             vectors[unique] -= p.rate * grad / np.sqrt(seen_v[unique])[:, None]
-            g_out, g_bias = hidden.T @ error, error.sum(0)
             seen_o, seen_b = seen_o + (g_out**2).mean(), seen_b + (g_bias**2).mean()
             out -= p.rate * g_out / np.sqrt(seen_o)
             bias -= 0.3 * p.rate * g_bias / np.sqrt(seen_b)

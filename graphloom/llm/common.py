@@ -12,6 +12,8 @@ from graphloom.session import cut, shared_dir
 
 __all__ = ["WORD", "cut", "fold", "fresh", "keep_rows", "labelled_sample", "map_rows", "shared_dir", "table", "text_key", "text_of", "union_all"]
 
+#: Longest text that a model learns from: none of the longer ones is cut, they are not samples.
+MAX_BYTES = 1 << 15
 #: One ASCII word of the contracts: what stands between the bytes 0x20 and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,7 +70,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
 
     The labels are cut first, by a hash of the id, so that what is broadcast and what is collected has at most
     ``max_rows`` rows whatever the size of the corpus: of rows that share an id, however many, the least text counts. Null
-    ids, labels and texts are left out. Returns (texts, labels).
+    ids, labels and texts are left out, and so are texts of more than ``MAX_BYTES`` bytes, which bounds what is collected.
+    Returns (texts, labels).
     """
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep)
@@ -78,7 +81,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
         .limit(max_rows)
     )
     rows = (
-        documents.where(F.col("text").isNotNull())
+        documents.where(F.octet_length("text") <= MAX_BYTES)
         .select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "y")
