@@ -1,20 +1,23 @@
 """SimHash near-duplicates with BK-trees.
 
-Distinct fingerprints only are compared. Two of them within ``radius`` bits agree in at least one of radius + 1 blocks
-of bits, so each goes to one shard a block, named by the block's value; a shard's fingerprints form a BK-tree (a child's
-key is its distance to its parent) that is searched along the edges within the radius. Shards beyond ``SHARD`` members
-are cut into pieces, each piece's tree being searched for the members of each piece: bounded memory, no pair lost. Of the
-links that a tree finds, those that close a cycle are not needed for the components and are not written.
+Distinct fingerprints only are compared. Cut into radius + 3 blocks of bits, two of them within ``radius`` bits agree in
+three blocks at least, so each goes to one shard for every choice of three, named by the choice and the blocks' values: at
+radius 3 twenty shards, named by half of the bits, so that a shard hardly grows with the corpus and mostly holds one. A
+shard's fingerprints form a BK-tree (a child's key is its distance to its parent) that is searched along the edges within the
+radius. The trees are built where their shards are dealt out instead of being broadcast: all of them together are the
+corpus, which has no bound. Shards beyond ``SHARD`` members (dense groups of near copies) are cut into pieces, each piece's
+tree being searched for the members of each piece: bounded memory, no pair lost. Of the links that a tree finds, those that
+close a cycle are not needed for the components and are not written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, keep_rows, map_rows, table, text_of
@@ -23,6 +26,8 @@ from graphloom.llm.components import connected_components
 RADIUS = 3
 #: Most members of a tree.
 SHARD = 4096
+#: Up to so many large shards are made known by broadcast.
+FEW = 50_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -120,55 +125,53 @@ def _shard_links(values: list[int], mine: list[bool] | None, radius: int) -> lis
     return links
 
 
+def shards_of(fp: Column, radius: int) -> Column:
+    """The shards of a fingerprint, an array of longs: the choice of three blocks and their bits."""
+    n = radius + 3
+    edges = [64 * k // n for k in range(n + 1)]
+    found = []
+    for number, chosen in enumerate(combinations(range(n), 3)):
+        shard, at = F.lit(0).cast("long"), 0
+        for k in chosen:
+            width = edges[k + 1] - edges[k]
+            shard = shard.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << width) - 1)), at))
+            at += width
+        found.append(shard.bitwiseOR(F.lit(number << at)) if at < 64 else shard)
+    return F.array(*found)
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD) -> DataFrame:
     """Links (a, b) between the fingerprints of ``distinct`` (fp) that connect all pairs within ``radius`` bits."""
-    width = 64 // (radius + 1)
-    blocks = F.array(
-        *(
-            F.struct(
-                F.lit(k).alias("block"),
-                F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << (width if k < radius else 64 - radius * width)) - 1)).alias("bits"),
-            )
-            for k in range(radius + 1)
-        )
-    )
-    members = distinct.select("fp", F.inline(blocks))
-    sizes = members.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > most).select("block", "bits", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
-    members = members.join(large, ["block", "bits"], "left")
+    members = distinct.select("fp", F.explode(shards_of(F.col("fp"), radius)).alias("shard"))
+    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    large = cut(sizes.select("shard", F.ceil(F.col("n") / most).cast("int").alias("pieces")))
+    few = large.limit(FEW + 1).count() <= FEW
+    members = members.join(F.broadcast(large) if few else large, "shard", "left")
     piece = F.pmod(F.xxhash64("fp"), F.coalesce("pieces", F.lit(1))).cast("int")
-    members = members.select("fp", "block", "bits", piece.alias("piece"), F.coalesce("pieces", F.lit(1)).alias("pieces"))
+    members = members.select("fp", "shard", piece.alias("piece"), F.coalesce("pieces", F.lit(1)).alias("pieces"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    members = members.select(
-        "fp", "block", "bits", "piece", F.least("piece", "other").alias("tree"), F.greatest("piece", "other").alias("asks")
-    )
-    shards = members.repartition("block", "bits", "tree", "asks").sortWithinPartitions("block", "bits", "tree", "asks")
+    members = members.select("fp", "shard", "piece", F.least("piece", "other").alias("tree"), F.greatest("piece", "other").alias("asks"))
+    shards = members.repartition("shard", "tree", "asks").sortWithinPartitions("shard", "tree", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, values, pieces = None, [], []
-
-        def links() -> list[tuple[int, int]]:
-            if len(values) < 2:
-                return []
-            across = key[2] != key[3]
-            return _shard_links(values, [p == key[2] for p in pieces] if across else None, radius)
+        held: list[np.ndarray] = []  # rows of the shard that the last batch ended in
 
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            columns = [batch.column(k).to_numpy() for k in range(6)]
-            keys = np.stack([columns[1], columns[2], columns[4], columns[5]], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for start, end in zip(cuts, cuts[1:]):
-                if start == end:
-                    continue
-                here = tuple(keys[start].tolist())
-                if here != key:
-                    out += links()
-                    key, values, pieces = here, [], []
-                values += columns[0][start:end].view(np.uint64).tolist()
-                pieces += columns[3][start:end].tolist()
-            yield _links_batch(out)
-        yield _links_batch(links())
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)
+            rows = np.concatenate([*held, rows])
+            cuts = np.flatnonzero((rows[1:, [1, 3, 4]] != rows[:-1, [1, 3, 4]]).any(1)) + 1
+            held = [rows[cuts[-1] if len(cuts) else 0 :]]
+            yield _links_batch(links(rows, np.concatenate([[0], cuts])))
+        if held:
+            yield _links_batch(links(held[0], np.array([0, len(held[0])])))
+
+    def links(rows: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        several = np.flatnonzero(np.diff(cuts) > 1)
+        for start, end in zip(cuts[several].tolist(), cuts[several + 1].tolist()):
+            values, piece, (tree, asks) = rows[start:end, 0].view(np.uint64).tolist(), rows[start:end, 2], rows[start, 3:]
+            out += _shard_links(values, (piece == tree).tolist() if tree != asks else None, radius)
+        return out
 
     return map_rows(shards, run, "a long, b long")
 

@@ -188,6 +188,8 @@ def simhash_expected(rows, radius=3):
 def test_simhash(spark, sf_dir):
     assert collected(simhash.near_duplicates(frame(spark))) == simhash_expected(pairs())
     assert collected(simhash.near_duplicates(frame(spark), most=3)) == simhash_expected(pairs())
+    for radius in (0, 1, 6):
+        assert collected(simhash.near_duplicates(frame(spark), radius=radius)) == simhash_expected(pairs(), radius)
     assert collected(simhash.op10_simhash_near_dedup(spark, sf_dir)) == simhash_expected(sample(spark, sf_dir))
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
@@ -205,6 +207,20 @@ def test_bk_tree_finds_all_within_the_radius():
         assert sorted(tree.values[n] for n in tree.search(q, 3)) == sorted(v for v in values if (v ^ q).bit_count() <= 3)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_close_fingerprints_share_a_shard(spark, radius):
+    import random
+
+    rng = random.Random(radius)
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), radius))
+        pairs.append(tuple(x - (x >> 63 << 64) for x in (a, b)))
+    rows = spark.createDataFrame(pairs, "a long, b long").select(*(simhash.shards_of(F.col(c), radius).alias(c) for c in "ab")).collect()
+    assert all(set(r.a) & set(r.b) for r in rows) and all(len(set(r.a)) == len(r.a) for r in rows)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 200), (300, 301), (301, 300)]
     found = dict(map(tuple, components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
