@@ -2,7 +2,8 @@
 
 Lines with quote marks are parsed into passages (runs of lines of one quote level); a passage's normalised text is hashed
 and looked up among the hashes of the messages, paragraphs and lines of its conversation, of which each keeps its earliest
-turn, so no passage finds more than one original. A message answers the original of its shallowest linked passage, else the
+turn, so no passage finds more than one original. A passage that is found nowhere as a whole may be an excerpt: if all its
+paragraphs, or else all its lines, are found, its original is the turn by which the last of them was said. A message answers the original of its shallowest linked passage, else the
 turn before it. Replies follow the message they answer, in the order of their turns: a preorder of the reply tree, found by
 pointer jumping over the messages of branching conversations alone, in a number of rounds that is the logarithm of their
 length. A conversation of any length is dealt out in blocks of turns; none is gathered.
@@ -20,6 +21,8 @@ from graphloom.llm.common import cut, table, text_of
 #: Turns of a conversation that are ordered in one group.
 BLOCK = 4096
 _MARKS = r"^(?:[ \t]*>)+"
+#: What separates paragraphs.
+_BLANK = r"\n[ \t\r]*\n"
 #: A line that introduces a quotation.
 ATTRIBUTION = r"(?i)^\s*(?:on\b.*\bwrote|.*\b(?:wrote|writes|schrieb|a écrit|escribió))\s*:\s*$"
 
@@ -54,16 +57,25 @@ def _lines(text: Column) -> Column:
     return _let(F.transform(F.split(text, "\r?\n", -1), parsed), introduced)
 
 
+def _pieces(kind: int, texts: Column) -> Column:
+    said = F.array_distinct(F.filter(F.transform(texts, normalise), lambda t: t != ""))
+    return F.transform(said, lambda t: F.struct(F.lit(kind).alias("kind"), _digest(t).alias("hash")))
+
+
 def _passages(rows: Column) -> Column:
-    """(level, place, hash) of each run of lines of one quote level that has more than white space."""
+    """(level, place, hash, pieces) of each run of lines of one quote level that has more than white space. Pieces, of runs of
+    several lines, are the hashes of its paragraphs (kind 1) and lines (kind 2)."""
     level = lambda i: F.get(rows, i)["level"]
     starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.when(i > 0, level(i) != level(i - 1)).otherwise(True))
 
     def runs(at: Column) -> Column:
         def run(i: Column, k: Column) -> Column:
             end = F.coalesce(F.get(at, k + 1), F.size(rows))
-            text = normalise(F.array_join(F.transform(F.slice(rows, i + 1, end - i), lambda r: r["body"]), " "))
-            return F.struct(level(i).alias("level"), k.alias("place"), F.when(text != "", _digest(text)).alias("hash"))
+            bodies = F.transform(F.slice(rows, i + 1, end - i), lambda r: r["body"])
+            text = normalise(F.array_join(bodies, " "))
+            parts = F.concat(_pieces(1, F.split(F.array_join(bodies, "\n"), _BLANK, -1)), _pieces(2, bodies))
+            pieces = F.when((end - i > 1) & (level(i) > 0), parts).otherwise(F.array().cast("array<struct<kind:int,hash:binary>>"))
+            return F.struct(level(i).alias("level"), k.alias("place"), F.when(text != "", _digest(text)).alias("hash"), pieces.alias("pieces"))
 
         return F.filter(F.transform(at, run), lambda p: (p["level"] > 0) & p["hash"].isNotNull())
 
@@ -79,9 +91,9 @@ def parse(messages: DataFrame) -> DataFrame:
     own = F.regexp_replace(own, r"^\s+|\s+$", "")
     rows = rows.withColumn("text", F.when(quotes, own).otherwise(F.col("whole")))
     text = F.col("text")
-    units = F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n", -1), F.split(text, "\n", -1))
+    units = F.concat(F.array(text), F.split(text, _BLANK, -1), F.split(text, "\n", -1))
     units = F.array_distinct(F.filter(F.transform(units, normalise), lambda u: u != ""))
-    quoted = F.when(quotes, _let(F.col("lines"), _passages)).otherwise(F.array().cast("array<struct<level:int,place:int,hash:binary>>"))
+    quoted = F.when(quotes, _let(F.col("lines"), _passages)).otherwise(F.array().cast("array<struct<level:int,place:int,hash:binary,pieces:array<struct<kind:int,hash:binary>>>>"))
     return rows.select("conv_id", "turn", "role", "text", quoted.alias("quoted"), F.transform(units, _digest).alias("units"))
 
 
@@ -131,6 +143,16 @@ def reply_order(tree: DataFrame, block: int = BLOCK) -> DataFrame:
     return rank.join(total, "conv_id").select("conv_id", "turn", (F.col("total") - F.col("rank") + 1).alias("reply_order"))
 
 
+def _excerpts(known: DataFrame, whole: DataFrame, originals: DataFrame, passage: list[str]) -> DataFrame:
+    """passage, original of those that are not found as a whole, by their paragraphs or lines."""
+    each = known.select("conv_id", "turn", F.explode("quoted").alias("q")).where(F.size("q.pieces") > 0)
+    each = each.select("conv_id", "turn", "q.level", "q.place", "q.hash", F.explode("q.pieces").alias("p")).select(*passage, "p.kind", F.col("p.hash").alias("piece")).distinct()
+    each = each.join(whole.select(*passage), passage, "left_anti")
+    found = each.join(originals.withColumnRenamed("hash", "piece"), ["conv_id", "piece"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
+    kinds = found.groupBy(*passage, "kind").agg(F.max("original").alias("original"), F.count("original").alias("n"), F.count(F.lit(1)).alias("of")).where("n = of")
+    return kinds.groupBy(*passage).agg(F.min_by("original", "kind").alias("original"))
+
+
 def link_quotations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of ``messages`` (conv_id, turn, role, text): conv_id, turn, role, text (without quotations),
     parent_turn, reply_order, n_quoted, n_linked.
@@ -143,7 +165,9 @@ def link_quotations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     known = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     quoted = known.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.place", "q.hash").distinct()
     originals = known.select("conv_id", F.explode("units").alias("hash"), "turn").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
-    links = cut(quoted.join(originals, ["conv_id", "hash"]).where("original < turn"))
+    passage = ["conv_id", "turn", "level", "place", "hash"]
+    whole = quoted.join(originals, ["conv_id", "hash"]).where("original < turn").select(*passage, "original")
+    links = cut(whole.unionByName(_excerpts(known, whole, originals, passage)))
     chosen = links.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "place", "original")).alias("best"), F.count(F.lit(1)).alias("n_linked"))
 
     turns = in_order(known.select("conv_id", "turn").distinct(), ["conv_id"], block).drop("after")
@@ -175,15 +199,24 @@ WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS whole, ro
    FROM bodies WINDOW o AS (PARTITION BY rid ORDER BY i)),
  turns_of AS (SELECT rid, i, body, level, CASE WHEN lag(level) OVER o = level THEN 0 ELSE 1 END AS fresh FROM levels WINDOW o AS (PARTITION BY rid ORDER BY i)),
  numbered AS (SELECT rid, i, body, level, sum(fresh) OVER (PARTITION BY rid ORDER BY i) - 1 AS place FROM turns_of),
- passages AS (SELECT rid, place, level, trim(lower(regexp_replace(string_agg(body, ' ' ORDER BY i), '\s+', ' ', 'g'))) AS said FROM numbered WHERE level > 0 GROUP BY rid, place, level),
+ passages AS (SELECT rid, place, level, trim(lower(regexp_replace(string_agg(body, ' ' ORDER BY i), '\s+', ' ', 'g'))) AS said, string_agg(body, chr(10) ORDER BY i) AS raw FROM numbered WHERE level > 0 GROUP BY rid, place, level),
  quoted AS (SELECT * FROM passages WHERE said <> ''),
  own AS (SELECT rid, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS own FROM numbered GROUP BY rid),
  rows_ AS (SELECT m.rid, conv_id, turn, role, coalesce(own.own, whole) AS text FROM m LEFT JOIN own USING (rid)),
  units AS (SELECT conv_id, turn, trim(lower(regexp_replace(unnest(list_concat(list_concat([text], string_split_regex(text, '\n[ \t\r]*\n')), string_split(text, chr(10)))), '\s+', ' ', 'g'))) AS said
    FROM rows_ WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
  originals AS (SELECT conv_id, said, min(turn) AS original FROM units WHERE said <> '' GROUP BY conv_id, said),
- links AS (SELECT DISTINCT r.conv_id, r.turn, q.level, q.place, q.said, o.original FROM quoted q JOIN rows_ r USING (rid)
+ whole_ AS (SELECT DISTINCT r.conv_id, r.turn, q.level, q.place, q.said, o.original FROM quoted q JOIN rows_ r USING (rid)
    JOIN originals o ON o.conv_id = r.conv_id AND o.said = q.said WHERE o.original < r.turn),
+ pieces AS (SELECT DISTINCT r.conv_id, r.turn, level, place, said, kind, trim(lower(regexp_replace(piece, '\s+', ' ', 'g'))) AS piece FROM (
+   SELECT rid, level, place, said, 1 AS kind, unnest(string_split_regex(raw, '\n[ \t\r]*\n')) AS piece FROM quoted WHERE contains(raw, chr(10))
+   UNION ALL SELECT rid, level, place, said, 2, unnest(string_split(raw, chr(10))) FROM quoted WHERE contains(raw, chr(10))) JOIN rows_ r USING (rid)),
+ excerpts AS (SELECT conv_id, turn, level, place, said, arg_min(original, kind) AS original FROM (
+   SELECT p.conv_id, p.turn, p.level, p.place, p.said, kind, max(o.original) AS original FROM (SELECT * FROM pieces WHERE piece <> '') p
+   LEFT JOIN originals o ON o.conv_id = p.conv_id AND o.said = p.piece AND o.original < p.turn
+   WHERE NOT EXISTS (SELECT 1 FROM whole_ w WHERE w.conv_id = p.conv_id AND w.turn = p.turn AND w.level = p.level AND w.place = p.place AND w.said = p.said)
+   GROUP BY ALL HAVING count(o.original) = count(*)) GROUP BY ALL),
+ links AS (SELECT * FROM whole_ UNION ALL SELECT * FROM excerpts),
  best AS (SELECT conv_id, turn, original, n_linked FROM (SELECT conv_id, turn, original, CAST(count(*) OVER (PARTITION BY conv_id, turn) AS INTEGER) AS n_linked,
    row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, place, original) AS k FROM links) WHERE k = 1),
  keys AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM rows_ WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),

@@ -31,10 +31,22 @@ def parsed(text):
             runs[-1][1].append(body)
         else:
             runs.append((level, [body]))
-    passages = [(level, k, normal(" ".join(bodies))) for k, (level, bodies) in enumerate(runs)]
+    passages = [(level, k, normal(" ".join(bodies)), "\n".join(bodies)) for k, (level, bodies) in enumerate(runs)]
     return own, [p for p in passages if p[0] > 0 and p[2]]
 
 
+def original_of(passage, raw, units, turn):
+    """The turn that a passage is from: as a whole, by all its paragraphs, or by all its lines."""
+    if units.get(passage, turn) < turn:
+        return units[passage]
+    if "\n" in raw:
+        for pieces in (re.split(r"\n[ \t\r]*\n", raw), raw.split("\n")):
+            at = [units.get(normal(p), turn) for p in pieces if normal(p)]
+            if at and max(at) < turn:
+                return max(at)
+    return None
+
+
 def expected(rows):
     out, convs = [], defaultdict(lambda: defaultdict(list))
     for c, t, role, text in rows:
@@ -52,8 +64,9 @@ def expected(rows):
         parents, linked = {}, {}
         before = None
         for t in sorted(turns):
-            links = {(level, k, units[p]) for _, quoted in turns[t] for level, k, p in quoted if units.get(p, t) < t}
-            linked[t] = len({(level, k, p) for _, quoted in turns[t] for level, k, p in quoted if units.get(p, t) < t})
+            found = {(level, k, p): original for _, quoted in turns[t] for level, k, p, raw in quoted if (original := original_of(p, raw, units, t)) is not None}
+            links = {(level, k, original) for (level, k, _), original in found.items()}
+            linked[t] = len(found)
             parents[t] = min(links)[2] if links else before
             before = t
         children = defaultdict(list)
@@ -78,7 +91,7 @@ def conversations(seed=1):
             text = own
             if said and rng.random() < 0.6:
                 source = rng.choice(said)
-                part = rng.choice([source, source.split("\n")[0], "never said by anyone", ""])
+                part = rng.choice([source, source.split("\n")[0], "\n".join(source.split("\n")[1:]), "\n".join(source.split("\n")[:2]), "never said by anyone", ""])
                 text = "On Monday, X wrote:\n" * rng.randrange(2) + "\n".join(rng.choice(["> ", ">", " > "]) + x.upper() for x in part.split("\n")) + "\n" + own
             if said and rng.random() < 0.3:
                 text += "\r\n>> " + rng.choice(said).replace("\n", "\n>  > ") + "\n> " + rng.choice(said).replace("\n", "\n>")
@@ -97,6 +110,29 @@ def test_links_and_order(spark, block):
     assert collected(threads.link_quotations(frame, block)) == expected(rows)
 
 
+def test_trimmed_quotations_find_their_original(spark):
+    said = "first of all\nit is late\n\nsecond, we\nare tired\n\nthird"
+    replies = ["> it is late\n> second, we\nwhy?", "> first of all\n> it is late\n>\n> third\nyes", ">> second, we are tired\n>>\n>> third\nno", "> it is late\n> says who\nhm"]
+    rows = [(1, 0, "a", said), (1, 1, "b", "third"), (1, 2, "b", "well"), *((1, 3 + k, "c", r) for k, r in enumerate(replies))]
+    found = {r.turn: (r.parent_turn, r.n_linked) for r in threads.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [found[3 + k] for k in range(4)] == [(0, 1), (0, 1), (0, 1), (5, 0)]
+    assert collected(threads.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))) == expected(rows)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_sql_on_made_conversations(spark, seed):
+    """The supplied table holds no quotations, so the SQL is compared on these."""
+    import duckdb
+    import pandas as pd
+
+    made = [r for r in conversations(seed) if r[0] not in (53,)]
+    con = duckdb.connect()
+    con.register("made", pd.DataFrame(made, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.sql("CREATE TABLE conversations AS SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM made")
+    frame = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
+    assert collected(threads.link_quotations(frame)) == sorted(map(tuple, con.sql(threads.ORACLE).fetchall()), key=repr)
+
+
 def test_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert collected(threads.op4_quotation_linking(spark, sf_dir)) == expected(rows)
