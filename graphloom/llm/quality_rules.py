@@ -177,7 +177,8 @@ def _oracle() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS words,
-   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
  each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
  wins AS (SELECT doc_id, i, word = lag(word) OVER o AS same,
    word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS win
@@ -196,3 +197,21 @@ SELECT *, {hit(BASE)} AS base_failed, NOT ({hit(BASE)}) AND NOT ({hit(POLICIES[C
 
 
 ORACLE = _oracle()
+
+
+def rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does to ``documents``."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+def _ablation_oracle() -> str:
+    head = ORACLE[: ORACLE.rindex("SELECT *")]
+    bits = ", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES if r.name in POLICIES[CURRENT])
+    total = lambda c: f"CAST(coalesce(sum(n) FILTER ({c}), 0) AS BIGINT)"
+    return f"""{head}, p AS (SELECT failed & {mask_of(POLICIES[CURRENT])} AS p, count(*) AS n FROM f GROUP BY 1)
+SELECT rule, {total("(p & bit) <> 0")} AS n_failed, {total("p = bit")} AS n_only, {total("(p & ~bit) <> 0")} AS n_removed_without
+FROM p, (VALUES {bits}) b(rule, bit) GROUP BY rule
+"""
+
+
+ABLATION_ORACLE = _ablation_oracle()

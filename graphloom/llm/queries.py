@@ -23,6 +23,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "rule_ablations": quality_rules.rule_ablations,
 }
 
 ORACLES = {
@@ -31,4 +32,5 @@ ORACLES = {
     "op5_quality_rules": quality_rules.ORACLE,
     "op7_warc": archives.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "rule_ablations": quality_rules.ABLATION_ORACLE,
 }
