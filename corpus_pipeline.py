@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bpe, classifier, exact, mixing, simhash
 from graphloom.llm.common import shared_dir, table
+from graphloom.session import remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:  # nothing reads the stage before any more
+            remove(spark, f"{at}/{k - 1}")
     return docs

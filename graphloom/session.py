@@ -27,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that an iteration neither repeats nor loses its past."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
