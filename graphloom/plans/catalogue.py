@@ -1,4 +1,5 @@
-"""The registered queries with their SQL counterparts; those on generated sources are in ``generated``.
+"""The registered queries with their SQL counterparts; those on generated sources and a made Git repository
+are in ``generated`` and ``repository``.
 
 Queries run operators of the engine over whole tables (see ``analogues`` for what stands for what); the SQL beside them says
 the same independently. ``changed_scope_semi`` and ``review_items`` show the plan of a step that the engine takes on the
@@ -7,6 +8,7 @@ driver, on few rows. A query without SQL is an iterative one and is tested by it
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,10 @@ from graphloom.config import Thresholds
 from graphloom.functions import paths, severity, text
 from graphloom.operators import chunks, findings, graphs, history, index, packs, parse, resolve, rules, scoring, search, trend
 from graphloom.plans import analogues as A
-from graphloom.plans import generated
+from graphloom.plans import generated, repository
 from graphloom.plans.registry import ORACLES, QUERIES, query
-from graphloom.session import cut
+from graphloom.session import cut, shared_dir
+from graphloom.sources import baselines
 from graphloom.tables import table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -243,6 +246,15 @@ def baseline_known(spark, d):
     return _baseline(spark, d)[1]
 
 
+@query(_BASELINE.replace("NEGATED", "NOT"))
+def baseline_file(spark, d):
+    """The same through a file: written, read and compared."""
+    found = A.findings(spark, d)
+    path = repository.folder(spark, "baseline") / baselines.FILE_NAME
+    baselines.save(found.where("src_ordinal % 2 = 0"), path)
+    return findings.split_baseline(found, baselines.load(path).frame(spark))[0].select("rule_id", "path", "symbol", "line", "src_ordinal")
+
+
 @query(_with(A.FINDINGS) + "SELECT src_ordinal, row_number() OVER (ORDER BY severity DESC, path, coalesce(line, 0), rule_id, rule_ordinal, src_ordinal) AS rank FROM findings")
 def finding_rank(spark, d):
     return findings.ranked(A.findings(spark, d), findings.order()).select("src_ordinal", "rank")
@@ -713,6 +725,17 @@ def index_stats(spark, d):
     return index.stats(_index_plan(spark, d))
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (doc_id % 5 = 0) AS embedded, count(*) FILTER (doc_id % 5 <> 0) AS reused, count(*) FILTER (doc_id % 5 = 0) AS removed FROM documents")
+def index_rebuild(spark, d):
+    """An index of all documents, renewed after every fifth text has changed: its old entry is removed."""
+    rows = A.modules(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("module").alias("kind"), F.col("rel_path").alias("path"), F.col("source").alias("symbol"), F.lit(1).alias("lineno"), F.lit(1).alias("end_lineno"), F.lit(0).alias("ordinal"), "text", "doc_id")
+    before = rows.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    place = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    for version in (before, rows):
+        s = index.build(version.withColumn("content_hash", chunks.content_hash(F.col("text"))), place, search.HashEmbedder(16))
+    return spark.createDataFrame([(s.total, s.embedded, s.reused, s.removed)], "total long, embedded long, reused long, removed long")
+
+
 @query(_with(A.MODULES) + "SELECT doc_id, sha1(rel_path || chr(0) || 'module' || chr(0) || source) AS chunk_id, sha1(text) AS content_hash FROM modules")
 def chunk_ids(spark, d):
     return A.modules(spark, d).select("doc_id", chunks.chunk_id(F.col("rel_path"), F.lit("module"), F.col("source")).alias("chunk_id"), chunks.content_hash(F.col("text")).alias("content_hash"))
