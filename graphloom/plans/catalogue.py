@@ -135,6 +135,26 @@ def hotspot_rule(spark, d):
     return rows.select("qualname", "cyclomatic", "scope", F.col("level").cast("int").alias("level"), F.coalesce("own_commits", "file_commits").alias("commits"))
 
 
+@query(
+    _with(A.HISTORY, _HOT.partition(",\n churn AS")[0], "churn AS (SELECT CAST(o_custkey AS VARCHAR) AS path, count(DISTINCT o_orderkey) AS commits FROM orders GROUP BY 1)")
+    + """SELECT f.path, CASE WHEN c.path IS NULL THEN 'file' ELSE 'function' END AS scope, CASE WHEN f.cyclomatic >= 15 THEN 3 ELSE 2 END AS severity, coalesce(c.commits, h.commits) AS commits
+    FROM (SELECT CAST(p_partkey AS VARCHAR) AS path, p_size AS cyclomatic FROM part) f JOIN history h USING (path) LEFT JOIN churn c ON c.path = f.path
+    WHERE f.cyclomatic >= 10 AND h.commits >= (SELECT f FROM floor_) AND (c.commits IS NULL OR c.commits >= 5)"""
+)
+def hotspot_scopes(spark, d):
+    """The rule where the own churn of some functions is unknown: it is that of orders by customer, and fewer customers than
+    parts have any."""
+    name = F.col("p_partkey").cast("string")
+    functions = table(spark, d, "part").select(F.lit("").alias("snapshot"), name.alias("rel_path"), name.alias("qualname"), F.col("p_size").alias("cyclomatic"), F.lit(1).alias("lineno"), F.lit(0).alias("ordinal"))
+    buyer = F.col("o_custkey").cast("string")
+    churn = table(spark, d, "orders").groupBy(buyer.alias("path"), buyer.alias("qualname")).agg(
+        F.countDistinct("o_orderkey").alias("commits"), F.countDistinct("o_orderpriority").alias("authors"), F.lit(0).alias("lines"), F.max("o_orderdate").cast("string").alias("last_modified")
+    )
+    context = rules.Context(functions, history=history.file_history(A.changes(spark, d)), churn=churn, given={"functions": functions})
+    told = F.from_json("details", "scope string, commits long")
+    return rules.only("history/complexity-hotspot", context).select("path", told["scope"].alias("scope"), "severity", told["commits"].alias("commits"))
+
+
 @query(_with(A.FUNCTIONS) + "SELECT path, qualname, cyclomatic, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cyclomatic DESC, ordinal) AS place FROM functions) WHERE place <= 8")
 def blame_topk_functions(spark, d):
     return history.most_complex(A.functions(spark, d)).select("path", "qualname", "cyclomatic", "place")
