@@ -78,6 +78,38 @@ def bm25(chunks: DataFrame, query: list[str], body: str = "text", symbol: str |
     return hit.withColumn("raw", raw).withColumn("score", F.round("raw", 4)).select(*chunks.columns, "raw", "score")
 
 
+#: Parts of a token index.
+BUCKETS = 64
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def save_tokens(chunks: DataFrame, folder: str, key: str, body: str = "text") -> None:
+    """Write an index for many queries: each token's chunks with its count and their length, in buckets by token, and the
+    corpus statistics. Texts are tokenised once; a token that most chunks have is split over tasks."""
+    rows = chunks.select(key, text.tokens(F.col(body)).alias("tokens"))
+    each = rows.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("token")).groupBy(key, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    each = each.withColumn("bucket", _bucket(F.col("token"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
+    each.write.partitionBy("bucket").parquet(f"{folder}/tokens")
+    corpus_statistics(rows).write.parquet(f"{folder}/statistics")
+
+
+def find_tokens(spark, folder: str, query: list[str], key: str) -> DataFrame:
+    """key, raw, score of the chunks that share a token with ``query``: what ``bm25`` finds, from an index, of which only
+    the buckets of the query's tokens are read."""
+    repeats = Counter(query)
+    asked = spark.createDataFrame(list(repeats.items()), "token string, times int")
+    buckets = [r.b for r in asked.select(_bucket(F.col("token")).alias("b")).distinct().collect()]  # one a token at most
+    hits = spark.read.parquet(f"{folder}/tokens").where(F.col("bucket").isin(buckets)).join(F.broadcast(asked), "token")
+    found = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row a token
+    hits = hits.join(F.broadcast(found), "token").join(F.broadcast(spark.read.parquet(f"{folder}/statistics")))
+    norm = F.when(F.col("mean") > 0, K1 * (1 - B + B * F.col("len") / F.col("mean"))).otherwise(F.lit(K1))
+    part = F.col("times") * inverse_frequency(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    return hits.groupBy(key).agg(F.sum(part).alias("raw")).withColumn("score", F.round("raw", 4))
+
+
 def top_hits(scored: DataFrame, limit: int, min_score: float = 0.0, order: tuple[str, ...] = ("path", "lineno")) -> DataFrame:
     return scored.where(F.col("raw") > min_score).orderBy(F.desc("score"), *order).limit(limit)
 

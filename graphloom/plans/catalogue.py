@@ -692,6 +692,14 @@ def bm25_topk(spark, d):
     return search.top_hits(search.bm25(_chunks_of_documents(spark, d), search.query_tokens(spark, _QUERY)), 20, 0.0, ("doc_id",)).select("doc_id", "score")
 
 
+@query(_bm25_sql())
+def bm25_indexed(spark, d):
+    """The same from an index of tokens."""
+    place = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    search.save_tokens(_chunks_of_documents(spark, d), place, "doc_id")
+    return search.top_hits(search.find_tokens(spark, place, search.query_tokens(spark, _QUERY), "doc_id"), 20, 0.0, ("doc_id",)).select("doc_id", "score")
+
+
 @query(
     _with(
         _TOKENS,
