@@ -12,9 +12,10 @@ that an earlier suffix has too is repeated as a whole; the windows of the anchor
 over their bytes, eight a digit.
 
 Hot anchors (the edges of a passage that follows other words in each document) are split: the task that reads the texts
-combines equal contexts, and of an anchor with more than ``SPARSE`` contexts among those that it holds it deals out the
-windows instead, sorted and combined, with a note for the others; a task that meets the note or more than ``PIECE``
-contexts goes on in the same way, a piece at a time. Only these windows are compared by a 128-bit hash.
+combines equal contexts, and of an anchor with more than ``SPARSE`` contexts among those that it holds it deals them out in
+``SALTS`` ways by their bytes, with a note for those of other tasks. A task that sorts such contexts, or meets the note or more
+than ``PIECE`` contexts, does so a piece at a time and deals out the windows that are left. Only these windows are compared by
+a 128-bit hash.
 
 Suffixes are ordered by (doc_id, hash of the text, position).
 """
@@ -22,6 +23,7 @@ Suffixes are ordered by (doc_id, hash of the text, position).
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -38,6 +40,8 @@ GRAM = 32
 COMBINED, HELD = 1 << 20, 100_000
 #: Most contexts of one anchor that a task deals out of those it holds.
 SPARSE = 16
+#: Ways in which the contexts of a dense anchor are dealt out.
+SALTS = 256
 #: Most contexts of one anchor that are sorted at once.
 PIECE = 1024
 #: Windows that are sorted at once, besides the last anchor's.
@@ -146,8 +150,8 @@ def _unpacked(packed: bytes) -> bytes:
 
 
 class _Rows:
-    """Rows on their way to the next task: contexts, notes that an anchor is split (no bytes), windows (``lead`` -1) and
-    settled spans (``lead`` is their size, negative, which is -THRESHOLD at most)."""
+    """Rows on their way to the next task: contexts (``low`` is one if their anchor is split), notes that an anchor is split
+    (no bytes), windows (``lead`` -1) and settled spans (``lead`` is their size, negative, which is -THRESHOLD at most)."""
 
     schema = "route long, low long, doc long, place long, lead int, bytes binary"
 
@@ -158,6 +162,11 @@ class _Rows:
     def context(self, gram: int, doc: int, place: int, lead: int, part: bytes) -> None:
         self.loose.append((gram, 0, doc, place, lead, part))
 
+    def salted(self, gram: int, doc: int, place: int, lead: int, part: bytes) -> None:
+        salt = zlib.crc32(part) % SALTS + 1
+        route = (gram ^ salt * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+        self.loose.append((route - (route >> 63 << 64), 1, doc, place, lead, part))
+
     def note(self, gram: int) -> None:
         self.loose.append((gram, 0, 0, 0, 0, b""))
 
@@ -198,7 +207,7 @@ def _merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _Context = tuple[int, int, int, int, bytes]
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], sparse: int, piece: int) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], sparse: int) -> Iterator[pa.RecordBatch]:
     """Contexts of the asked anchors of (doc_id, doc, tie, packed text, positions less 2**31)."""
     held: dict[bytes, _Context] = {}
     rows = _Rows()
@@ -211,8 +220,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], sparse: int, piece: int) -> Ite
         for gram, some in by_gram.items():
             if len(some) > sparse:
                 rows.note(gram)
-                for at in range(0, len(some), piece):
-                    _sort(some[at : at + piece], rows, split=True)
+                for c in some:
+                    rows.salted(*c)
             else:
                 for c in some:
                     rows.context(*c)
@@ -339,10 +348,11 @@ def _decided(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.Recor
             rows.parts.append(tuple(c.to_numpy()[loose] for c in batch.columns[:5]))
             batch = batch.filter(pa.array(~loose))
         later: list[tuple[int, int, int]] = []
-        for g, d, p, lead, part in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+        for g, salted, d, p, lead, part in zip(*(batch.column(k).to_pylist() for k in range(6))):
             if g != gram:
                 close()
                 gram, split = g, False
+            split = split or salted == 1
             if not part:
                 split = True
             elif held and held[-1][4] == part:
@@ -407,7 +417,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, sparse: int =
     packed = map_rows(texts.select("doc_id", "doc", tie.alias("tie"), "text"), _packed, "doc_id long, doc long, tie long, packed binary")
     packed = packed.where("doc IS NOT NULL AND tie IS NOT NULL")  # as an inner join asks, so that both joins share a plan
     once = packed.join(asked, ["doc", "tie"]).select("doc_id", "doc", "tie", "packed", "places")
-    contexts = map_rows(once, partial(_contexts, sparse=sparse, piece=piece), _Rows.schema)
+    contexts = map_rows(once, partial(_contexts, sparse=sparse), _Rows.schema)
     dealt = contexts.repartition("route").sortWithinPartitions("route", "bytes", "doc", "place")
     decided = map_rows(dealt, partial(_decided, piece=piece), _Rows.schema)
 
