@@ -25,6 +25,8 @@ from graphloom.llm.common import fold, labelled_sample, map_rows, table, text_of
 
 #: Bytes that words have in common with their inflected and compounded forms.
 STEM = 5
+#: Words that a task knows the numbers of at a time; it works out a forgotten one again.
+KNOWN = 100_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ class Hashes(dict):
         self.stems = Stems()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= KNOWN:
             self.clear()
         self[word] = n = zlib.crc32(word) << 32 | zlib.crc32(word, 77)
         return n
@@ -67,7 +69,7 @@ class Stems(dict):
     """Number of a word's first ``STEM`` bytes; zero for a word that is no longer than these."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= KNOWN:
             self.clear()
         stem = word[:STEM]
         self[word] = n = 0 if stem == word else zlib.crc32(stem, 5) << 32 | zlib.crc32(stem, 78)

@@ -104,6 +104,18 @@ def test_quality_training_holds_packed_features():
     assert peak < 10 * features
 
 
+def test_toxicity_words_known_are_bounded():
+    """An executor runs a worker a core; numbers of 400,000 words each were most of what such a worker held."""
+    tracemalloc.start()
+    hashes = toxicity.Hashes()
+    for k in range(0, 300_000, 100):
+        toxicity.features_of([b"word%07d" % n for n in range(k, k + 100)], hashes, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    again = [toxicity.features_of([b"word0000007", b"word0299999", b"a", b"b"], h, 20).tolist() for h in (hashes, toxicity.Hashes())]
+    assert again[0] == again[1] and peak < 40_000_000
+
+
 def test_long_texts_are_scored_but_no_samples(spark):
     """They differ in no other way from those that a model learns from."""
     long = "moron " + "w " * common.MAX_BYTES
