@@ -181,6 +181,5 @@ def json_findings(spark, d):
     """The entries of the JSON report, in its order."""
     from graphloom.reports import documents
 
-    keys = ("rule_id", "severity", "severity_level", "path", "line", "symbol")
-    rows = [(k, *(e[x] for x in keys)) for k, e in enumerate(documents.finding_entries(_told(spark, d), with_new=False), 1)]
-    return spark.createDataFrame(rows, "place long, rule_id string, severity string, severity_level int, path string, line int, symbol string")
+    rows = findings.ranked(documents.entries(_told(spark, d), with_new=False), documents.entry_order(), "place")
+    return rows.select("place", "rule_id", "severity", "severity_level", "path", "line", "symbol")

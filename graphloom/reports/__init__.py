@@ -1,7 +1,8 @@
 """Sinks: documents made of an analysis.
 
-All counting, ordering and limiting is done by Spark; what arrives here is formatted on the driver. JSON, SARIF and baseline
-documents hold every finding by their nature; ``save_findings`` writes any number of them as a table instead.
+All counting, ordering and limiting is done by Spark; what arrives here is formatted on the driver. JSON and SARIF texts
+and baselines hold every finding by their nature; ``save_json`` and ``save_sarif`` write the same documents from the executors,
+in parts, and ``save_findings`` a table.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from graphloom.reports.documents import dot_text, json_text, sarif_text
+from graphloom.reports.documents import dot_text, json_text, sarif_text, save_json, save_sarif
 from graphloom.reports.pages import html_text, markdown_text, terminal_text
 from graphloom.reports.small import explanation_text, review_text, search_text, trend_text
 
 __all__ = [
     "dot_text", "emit", "explanation_text", "html_text", "json_text", "markdown_text", "review_text", "sarif_text",
-    "save_findings", "search_text", "terminal_text", "trend_text",
+    "save_findings", "save_json", "save_sarif", "search_text", "terminal_text", "trend_text",
 ]
 
 
