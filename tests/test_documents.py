@@ -18,7 +18,7 @@ def text_of(folder):
     return "".join(p.read_text() for p in sorted(Path(folder).glob("part-*")))
 
 
-@pytest.mark.parametrize("name", ["json_findings"])
+@pytest.mark.parametrize("name", ["json_findings", "sarif_document"])
 def test_documents_stay_on_the_executors(spark, sf_dir, monkeypatch, name):
     counts, collect = [], Classic.collect
 
