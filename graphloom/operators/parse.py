@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from graphloom.functions import paths
 from graphloom.operators.visitor import module_row
+from graphloom.session import spread
 
 _FUNCTION = (
     "name string, qualname string, lineno int, end_lineno int, length int, parameters int, cyclomatic int, cognitive int,"
@@ -38,11 +39,18 @@ MODULES = (
 BATCH = 64
 
 
-def parse_sources(files: DataFrame, root_name: str = "root") -> DataFrame:
+def module_names(files: DataFrame, root_name: str = "root") -> DataFrame:
+    """snapshot and name of each file's module, without a look at its content."""
+    snapshot = F.col("snapshot") if "snapshot" in files.columns else F.lit("")
+    return files.select(snapshot.cast("string").alias("snapshot"), paths.module_name(F.col("rel_path"), F.lit(root_name)).alias("name"))
+
+
+def parse_sources(files: DataFrame, root_name: str = "root", repeated: bool = False) -> DataFrame:
     """``files`` (rel_path, content; optionally snapshot and read_error) to one module row each, null contents being empty
     files. A read error is the row's syntax error.
 
-    ``root_name`` names a package at the root itself.
+    ``root_name`` names a package at the root itself. ``repeated``: many files have the same content, such as those of a
+    history's snapshots; each content is parsed once, and its rows are joined to its files by SHA-256.
     """
     snapshot = F.col("snapshot") if "snapshot" in files.columns else F.lit("")
     failed = F.col("read_error") if "read_error" in files.columns else F.lit(None)
@@ -54,7 +62,11 @@ def parse_sources(files: DataFrame, root_name: str = "root") -> DataFrame:
         F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"),
         failed.cast("string").alias("read_error"),
     )
-    schema = to_arrow_schema(StructType.fromDDL(MODULES))
+    return _once(rows) if repeated else _parsed(rows, MODULES)
+
+
+def _parsed(rows: DataFrame, ddl: str) -> DataFrame:
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +75,29 @@ def parse_sources(files: DataFrame, root_name: str = "root") -> DataFrame:
                 found = [{**r, **module_row(r.pop("content"), r["module_name"], r.pop("read_error"))} for r in part]
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    return rows.mapInArrow(run, MODULES)
+    return rows.mapInArrow(run, ddl)
+
+
+#: What a file's content says besides its place, which only qualified names need.
+_CONTENT = MODULES[MODULES.index("total_lines") :]
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The same rows as ``_parsed``, each content being parsed once, for a module without a name."""
+    failed = F.col("read_error").isNotNull()
+    rows = rows.withColumn("content", F.when(failed, F.lit(b"")).otherwise(F.col("content")))
+    whole = F.when(failed, F.concat(F.lit(b"e"), F.col("read_error").cast("binary"))).otherwise(F.concat(F.lit(b"c"), "content"))
+    key = F.unhex(F.sha2(whole, 256)).alias("content_key")
+    texts = spread(rows.select("content", "read_error").distinct()).select(key, F.lit("").alias("module_name"), "content", "read_error")
+    parsed = _parsed(texts, f"content_key binary, module_name string, {_CONTENT}").drop("module_name")
+    prefix = F.nullif("module_name", F.lit(""))
+
+    def named(functions: Column) -> Column:
+        return F.transform(functions, lambda f: f.withField("qualname", F.concat_ws(".", prefix, f["qualname"])))
+
+    found = rows.select("snapshot", "rel_path", "module_name", "is_package", key).join(parsed, "content_key")
+    found = found.withColumns({"functions": named(F.col("functions")), "classes": F.transform("classes", lambda c: c.withField("methods", named(c["methods"])))})
+    return found.select(*StructType.fromDDL(MODULES).names)
 
 
 _KEYS = ("snapshot", "rel_path", "module_name")

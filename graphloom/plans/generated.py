@@ -14,13 +14,18 @@ from graphloom.config import Settings
 from graphloom.operators import chunks, findings, parse, resolve, rules
 from graphloom.plans import analogues as A
 from graphloom.plans.registry import query
-from graphloom.session import shared_dir
+from graphloom.session import cut, shared_dir, spread
 from graphloom.tables import table
 
 
-def _parsed(spark, d, source: str, path: str = "'m' || p_partkey || '.py'") -> DataFrame:
-    """Modules of the sources that an SQL expression gives for each part."""
-    return parse.parse_sources(table(spark, d, "part").selectExpr(f"{path} AS rel_path", f"{source} AS content"), "demo")
+def _files(spark, d, source: str, path: str = "'m' || p_partkey || '.py'") -> DataFrame:
+    """The sources that an SQL expression gives for each part. The table is small for the work in it, so its rows are dealt out."""
+    return spread(table(spark, d, "part").select("p_partkey", "p_size")).selectExpr(f"{path} AS rel_path", f"{source} AS content")
+
+
+def _parsed(spark, d, source: str, path: str = "'m' || p_partkey || '.py'", repeated: bool = True) -> DataFrame:
+    """Modules of the sources. Most are made from few remainders of the keys, so that many files have the same text."""
+    return parse.parse_sources(_files(spark, d, source, path), "demo", repeated)
 
 
 def _key() -> Column:
@@ -127,24 +132,30 @@ _IMPORTS_SQL = """names AS (SELECT 'm' || p_partkey AS name FROM part),
  i AS (SELECT 'm' || p_partkey AS src, unnest(['m' || (p_partkey * 7 % 3000 + 1), 'm' || (p_partkey + p_size), 'ext' || (p_size % 5)]) AS dst FROM part)"""
 
 
+def _import_graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    files = _files(spark, d, _IMPORTS)
+    return resolve.import_graph(parse.parse_sources(files, "demo"), parse.module_names(files, "demo"))
+
+
 @query(f"WITH {_IMPORTS_SQL} SELECT DISTINCT src, dst FROM i WHERE dst IN (SELECT name FROM names) AND src <> dst")
 def import_edges(spark, d):
-    return resolve.import_graph(_parsed(spark, d, _IMPORTS))[0].select("src", "dst")
+    return _import_graph(spark, d)[0].select("src", "dst")
 
 
 @query(f"WITH {_IMPORTS_SQL} SELECT dst AS package, count(*) AS n FROM i WHERE dst NOT IN (SELECT name FROM names) GROUP BY dst")
 def import_packages(spark, d):
-    return resolve.import_graph(_parsed(spark, d, _IMPORTS))[1].select("package", "n")
+    return _import_graph(spark, d)[1].select("package", "n")
 
 
 @query("WITH names AS (SELECT p_partkey AS k FROM part) SELECT 'm' || p_partkey || '.f' AS caller, 'm' || (p_partkey * 7 % 3000 + 1) || '.f' AS callee FROM part WHERE p_partkey * 7 % 3000 + 1 IN (SELECT k FROM names) AND p_partkey * 7 % 3000 + 1 <> p_partkey")
 def call_edges(spark, d):
-    return resolve.call_graph(_parsed(spark, d, _IMPORTS))[1].select("caller", "callee")
+    modules = cut(_parsed(spark, d, _IMPORTS, repeated=False).drop("lines", "signals"))  # read many times
+    return resolve.call_graph(modules)[1].select("caller", "callee")
 
 
 @query("SELECT 'm' || p_partkey || '.py' AS path, CAST(unnest([2, 2]) AS INTEGER) AS line FROM part")
 def rule_unused_import(spark, d):
-    return rules.only("dead-code/unused-import", rules.Context(_parsed(spark, d, _IMPORTS))).select("path", "line")
+    return rules.only("dead-code/unused-import", rules.Context(_parsed(spark, d, _IMPORTS, repeated=False))).select("path", "line")
 
 
 # --- whole documents

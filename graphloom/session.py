@@ -29,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly over all cores, for rows that mean more work than their size tells: a small file is one task
+    when it is read, and adaptive execution joins small partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever it is."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
