@@ -54,12 +54,16 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     return imports.withColumn("base", _base(F.col("level"))).withColumn("candidates", F.when(F.col("level") > 0, relative).otherwise(absolute))
 
 
-def import_graph(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges: snapshot, src, dst, distinct and without loops; externals: snapshot, package, n, one count per import)."""
+def import_graph(modules: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges: snapshot, src, dst, distinct and without loops; externals: snapshot, package, n, one count per import).
+
+    ``names`` (snapshot, name) of all modules saves a second parse where ``modules`` is not kept."""
+    if names is None:
+        names = modules.select("snapshot", F.col("module_name").alias("name"))
     rows = import_candidates(parse.imports(modules))
     keys = ["snapshot", "rel_path", "module_name", "ordinal", "first"]
     rows = rows.withColumn("first", F.get("candidates", F.lit(0)))
-    found = longest_prefix(rows, keys, "candidates", modules.select("snapshot", F.col("module_name").alias("name")), ["snapshot"])
+    found = longest_prefix(rows, keys, "candidates", names, ["snapshot"])
     edges = found.where("target <> module_name").select("snapshot", F.col("module_name").alias("src"), F.col("target").alias("dst")).distinct()
     root = F.split_part(F.col("first"), F.lit("."), F.lit(1))
     package = F.coalesce(F.nullif(root, F.lit("")), F.col("first"))
