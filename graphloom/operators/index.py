@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import IndexUnavailable
 from graphloom.operators import search
+from graphloom.session import cut
 
 VERSION = 1
 COLUMNS = ("chunk_id", "kind", "path", "symbol", "lineno", "end_lineno", "text", "content_hash")
@@ -75,11 +76,20 @@ def load(spark: SparkSession, folder: str, model: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{pointer['table']}")
 
 
+def _last(chunks: DataFrame) -> DataFrame:
+    """Of chunks with one id the last in order. Only ids are grouped, and texts only where an id does occur again."""
+    again = cut(chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id"))
+    if again.isEmpty():
+        return chunks.select(*COLUMNS)
+    several = chunks.join(again, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max_by(F.struct(*COLUMNS[1:]), F.struct("path", "ordinal")).alias("c"))
+    return chunks.join(again, "chunk_id", "left_anti").select(*COLUMNS).unionByName(several.select("chunk_id", "c.*"))
+
+
 def build(chunks: DataFrame, folder: str, embedder, rebuild: bool = False) -> IndexStats:
     """Renew the index: only new and changed chunks are embedded, those that are gone are left out, and another model
     starts afresh. Chunks of one id count once (the last in order)."""
     spark = chunks.sparkSession
-    chunks = chunks.groupBy("chunk_id").agg(F.max_by(F.struct(*COLUMNS[1:]), F.struct("path", "ordinal")).alias("c")).select("chunk_id", "c.*")
+    chunks = _last(chunks)
     try:
         old = None if rebuild else load(spark, folder, embedder.model_name)
     except IndexUnavailable:
