@@ -15,10 +15,10 @@ STOPWORDS = (
 def tokens(text: Column) -> Column:
     """Parts of ASCII identifiers: split at underscores and inside camelCase, lower-case, without stop words and letters.
 
-    One pass finds the parts after another has marked the humps. An identifier does not begin with a digit, so digits count
-    only inside one or after an underscore.
+    A part is capitals followed by what is not one, so one pass finds it. An identifier does not begin with a digit, so
+    digits count only inside one or after an underscore.
     """
-    parts = F.regexp_extract_all(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", "_"), F.lit("(?<=_)[0-9][A-Za-z0-9]+|[A-Za-z][A-Za-z0-9]+"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit("[a-z][a-z0-9]+|[A-Z][a-z0-9]+|[A-Z]{2,}[a-z0-9]*|(?<=_)[0-9][a-z0-9]+"), F.lit(0))
     return F.filter(F.transform(parts, F.lower), lambda x: ~x.isin(*STOPWORDS))
 
 

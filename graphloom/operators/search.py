@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
+from graphloom.session import cut
 
 K1, B, SYMBOL_BOOST = 1.5, 0.75, 2.0
 
@@ -53,7 +54,24 @@ def bm25(chunks: DataFrame, query: list[str], body: str = "text", symbol: str |
     wanted = list(dict.fromkeys(query))
     if not wanted:
         return chunks.where("false").withColumn("raw", F.lit(0.0)).withColumn("score", F.lit(0.0))
-    repeats = Counter(query)
+    raw, corpus, hit = _scored(_measured(chunks, wanted, body), query)
+    if symbol is not None:
+        whole = F.size(F.array_except(F.array(*map(F.lit, wanted)), text.tokens(F.col(symbol)))) == 0
+        raw = raw * F.when(whole, boost).otherwise(1.0)
+    return hit.join(F.broadcast(corpus)).withColumn("raw", raw).withColumn("score", F.round("raw", 4)).select(*chunks.columns, "raw", "score")
+
+
+def bm25_keys(chunks: DataFrame, query: list[str], key: str, body: str = "text") -> DataFrame:
+    """``key``, ``raw`` and ``score`` of what ``bm25`` finds. The texts are tokenised once: a few numbers a chunk are kept."""
+    wanted = list(dict.fromkeys(query))
+    if not wanted:
+        return chunks.where("false").select(key, F.lit(0.0).alias("raw"), F.lit(0.0).alias("score"))
+    raw, corpus, hit = _scored(cut(_measured(chunks, wanted, body).select(key, "_tf", "_len")), query)
+    return hit.join(F.broadcast(corpus)).select(key, raw.alias("raw")).withColumn("score", F.round("raw", 4))
+
+
+def _measured(chunks: DataFrame, wanted: list[str], body: str) -> DataFrame:
+    """Adds ``_tf``, the count of each wanted token, and ``_len``, that of all tokens."""
 
     def counted(tokens: Column) -> Column:
         each = F.array(*(_count(tokens, q) for q in wanted))
@@ -61,21 +79,22 @@ def bm25(chunks: DataFrame, query: list[str], body: str = "text", symbol: str |
 
     # a lambda's variable is computed once, a column would be tokenised anew for each use
     row = F.element_at(F.transform(F.array(text.tokens(F.col(body))), counted), 1)
-    rows = chunks.withColumn("_row", row).withColumn("_tf", F.col("_row.tf")).withColumn("_len", F.col("_row.len")).drop("_row")
-    frequencies = [F.count_if(F.get("_tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(wanted))]
+    return chunks.withColumn("_row", row).withColumn("_tf", F.col("_row.tf")).withColumn("_len", F.col("_row.len")).drop("_row")
+
+
+def _scored(rows: DataFrame, query: list[str]) -> tuple[Column, DataFrame, DataFrame]:
+    """(the raw score, the row of corpus statistics that it reads, the rows with a token of the query)."""
+    repeats = Counter(query)
+    frequencies = [F.count_if(F.get("_tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(repeats))]
     n, mean = _totals(F.col("_len"))
     corpus = rows.agg(n.alias("_n"), mean.alias("_mean"), *frequencies)  # one row
     norm = F.when(F.col("_mean") > 0, K1 * (1 - B + B * F.col("_len") / F.col("_mean"))).otherwise(F.lit(K1))
     raw = F.lit(0.0)
-    for k, token in enumerate(wanted):
+    for k, times in enumerate(repeats.values()):
         tf = F.get("_tf", F.lit(k))
         part = inverse_frequency(F.col("_n"), F.col(f"_df{k}")) * tf * (K1 + 1) / (tf + norm)
-        raw = raw + F.when(tf > 0, repeats[token] * part).otherwise(0.0)
-    if symbol is not None:
-        whole = F.size(F.array_except(F.array(*map(F.lit, wanted)), text.tokens(F.col(symbol)))) == 0
-        raw = raw * F.when(whole, boost).otherwise(1.0)
-    hit = rows.where(F.exists("_tf", lambda n: n > 0)).join(F.broadcast(corpus))
-    return hit.withColumn("raw", raw).withColumn("score", F.round("raw", 4)).select(*chunks.columns, "raw", "score")
+        raw = raw + F.when(tf > 0, times * part).otherwise(0.0)
+    return raw, corpus, rows.where(F.exists("_tf", lambda n: n > 0))
 
 
 #: Parts of a token index.
