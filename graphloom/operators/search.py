@@ -105,11 +105,23 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
+def token_counts(tokens: Column) -> Column:
+    """Array of (token, tf) of the distinct tokens: where runs of equal ones begin in sorted order, and how far they go."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        entry = lambda at: lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))
+        return F.element_at(F.transform(F.array(begins), lambda at: F.transform(at, entry(at))), 1)
+
+    return F.element_at(F.transform(F.array(F.sort_array(tokens)), runs), 1)
+
+
 def save_tokens(chunks: DataFrame, folder: str, key: str, body: str = "text") -> None:
     """Write an index for many queries: each token's chunks with its count and their length, in buckets by token, and the
-    corpus statistics. Texts are tokenised once; a token that most chunks have is split over tasks."""
+    corpus statistics. A chunk's tokens are counted in its row, so that they are shuffled once, into their buckets; a token
+    that most chunks have is split over tasks."""
     rows = chunks.select(key, text.tokens(F.col(body)).alias("tokens"))
-    each = rows.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("token")).groupBy(key, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    each = rows.select(key, F.size("tokens").alias("len"), F.inline(token_counts(F.col("tokens"))))
     each = each.withColumn("bucket", _bucket(F.col("token"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
     each.write.partitionBy("bucket").parquet(f"{folder}/tokens")
     corpus_statistics(rows).write.parquet(f"{folder}/statistics")
